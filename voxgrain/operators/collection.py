@@ -11,6 +11,7 @@ from voxgrain.functions import text as tx
 from voxgrain.functions.privacy import author_or_deleted, short_hash
 from voxgrain.functions.stats import ratio
 from voxgrain.operators.ranking import exact_quantiles, first_per_key, keep_top
+from voxgrain.sources.files import materialize
 from voxgrain.sources.topic import TOP_UP_SCAN, Topic
 
 # Weights of the relevance score, days until a post counts as old, tags of
@@ -203,9 +204,14 @@ def most_relevant(df: DataFrame, limit: int, key: str = "id") -> DataFrame:
 
 
 def collect_posts(posts: DataFrame, topic: Topic, as_of: Column, language_ok: Column | None = None) -> DataFrame:
-    """The whole selection: search, quota, top-up, repeats, relevance, limit."""
-    candidates = search_candidates(posts, topic)
-    selected = within_quota(first_seen(candidates), posts, topic, language_ok)
+    """The whole selection: search, quota, top-up, repeats, relevance, limit.
+
+    Candidates and selected posts are used several times. The search limits and quotas
+    bound them, so they are computed once and written, instead of searching all texts
+    again for every use.
+    """
+    candidates = materialize(search_candidates(posts, topic))
+    selected = materialize(within_quota(first_seen(candidates), posts, topic, language_ok))
     added = top_up(selected, candidates, posts, topic)
     shape = [*posts.columns, "search_method", "search_keyword", "rank"]
     first = selected.select(*posts.columns, "search_method", "search_keyword", F.col("place").alias("rank"))

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from voxgrain.plans import (
     cleaning_queries,
+    collection_queries,
+    label_queries,
+    model_queries,
     privacy_queries,
+    profiling_queries,
+    report_queries,
+    source_queries,
 )
 
 MODULES = (
     cleaning_queries,
+    collection_queries,
+    label_queries,
+    model_queries,
     privacy_queries,
+    profiling_queries,
+    report_queries,
+    source_queries,
 )
 
 

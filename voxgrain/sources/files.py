@@ -35,6 +35,14 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/voxgrain-{purpose}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small result once and cut its lineage, in the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_folder(df.sparkSession, "checkpoint"))
+    return df.checkpoint(eager=True)
+
+
 def read_posts(
     spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", schema: T.StructType | None = None,
     pattern: str | None = None, recursive: bool = False, with_source: bool = False,
