@@ -17,12 +17,13 @@ from voxgrain.sources import files as fl
 
 EMBEDDING_SIZE, EMBEDDING_CLASSES = 64, 10
 WORD_VECTOR_SIZE, WORD_VECTOR_EPOCHS = 32, 2
+FIT_ITERATIONS, FIT_FOLDS = 40, 3
 RUN_AT = "2024-01-31T00:00:00"
 
 
 def _fit(spark, sf_dir):
     df = ip.labelled_documents(spark, sf_dir)
-    return df, mo.fit_baseline(df, "text")
+    return df, mo.fit_baseline(df, "text", max_iterations=FIT_ITERATIONS)
 
 
 def ovr_logreg_predict(spark, sf_dir):
@@ -30,19 +31,13 @@ def ovr_logreg_predict(spark, sf_dir):
     return ip.rounded(mo.baseline_scores(model, df).drop("text"))
 
 
-def ovr_training_fit(spark, sf_dir):
-    """How well the baseline fits the texts it was trained on."""
-    df, model = _fit(spark, sf_dir)
-    return ip.rounded(me.classification_report(mo.baseline_scores(model, df), "sentiment", "predicted_sentiment"))
+def _fold_scores(spark, sf_dir):
+    df = ip.labelled_documents(spark, sf_dir)
+    return mo.cross_validate(df, "id", "text", folds=FIT_FOLDS, max_iterations=FIT_ITERATIONS)
 
 
 def ovr_cv_scores(spark, sf_dir):
-    return ip.rounded(mo.cross_validate(ip.labelled_documents(spark, sf_dir), "id", "text"))
-
-
-def ovr_cv_summary(spark, sf_dir):
-    scores = fl.materialize(mo.cross_validate(ip.labelled_documents(spark, sf_dir), "id", "text", folds=3))
-    return ip.rounded(mo.cross_validation_summary(scores))
+    return ip.rounded(_fold_scores(spark, sf_dir))
 
 
 def top_features(spark, sf_dir):
@@ -63,7 +58,7 @@ def model_roundtrip(spark, sf_dir):
 
 def training_report(spark, sf_dir):
     df, model = _fit(spark, sf_dir)
-    scores = fl.materialize(mo.cross_validate(df, "id", "text", folds=2))
+    scores = fl.materialize(_fold_scores(spark, sf_dir))
     report = mo.training_report(df, "sentiment", scores, mo.top_features(mo.coefficients(spark, model), 10), RUN_AT)
     return report.select("timestamp", "model_type", "samples", F.to_json("metrics").alias("metrics"), F.size("top_features").alias("features"))
 
@@ -162,7 +157,7 @@ def network_sentiment(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ovr_logreg_predict, ovr_training_fit, ovr_cv_scores, ovr_cv_summary, top_features, model_roundtrip,
+        ovr_logreg_predict, ovr_cv_scores, top_features, model_roundtrip,
         training_report, metrics_files, word_vectors, sentence_vectors, mlp_predict, mlp_history, mlp_objective,
         mlp_imported_weights, network_sentiment,
     )
@@ -184,8 +179,8 @@ SQL = {
         WITH v AS (SELECT 'w' || vec_id AS word, vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
         u AS (SELECT word, list_transform(e, x -> x / sqrt(list_sum(list_transform(e, y -> y * y)))) AS e FROM v),
         t AS (SELECT vec_id, unnest(['w' || vec_id, 'w' || (vec_id + 1), 'w' || (vec_id % 7)]) AS word FROM v),
-        d AS (SELECT vec_id, at, avg(x) AS x FROM (SELECT vec_id, unnest(e) AS x, unnest(range({EMBEDDING_SIZE})) AS at
-            FROM t JOIN u ON u.word = t.word) GROUP BY vec_id, at)
+        d AS (SELECT vec_id, place, avg(x) AS x FROM (SELECT vec_id, unnest(e) AS x, unnest(range({EMBEDDING_SIZE})) AS place
+            FROM t JOIN u ON u.word = t.word) GROUP BY vec_id, place)
         SELECT vec_id, CAST(count(*) AS INTEGER) AS size, round(sum(x), 2) AS total, round(sum(x * x), 2) AS square FROM d GROUP BY vec_id""",
     "mlp_imported_weights": "SELECT vec_id, TRUE AS same FROM embeddings",
     "word_vectors": f"""SELECT word, {WORD_VECTOR_SIZE} AS size FROM (
