@@ -49,7 +49,7 @@ def _by_join(df, text, output, key, lexicon):
     )
     lines = told.groupBy(key).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_at", "_lemma"))), lambda part: part["_lemma"]), " "
+            F.transform(F.sort_array(F.collect_list(F.struct("_at", "_lemma"))), lambda part: part["_lemma"]), " "
         ).alias(output)
     )
     return df.join(lines, key, "left")

@@ -251,7 +251,7 @@ def eda_summary(df: DataFrame, text: str, timestamp: str, platform: str) -> Data
     )
     return combined.agg(
         F.sum("_n").alias("total_posts"),
-        (F.sum("_chars") / F.sum("_texts")).alias("avg_text_length"),
+        F.try_divide(F.sum("_chars"), F.sum("_texts")).alias("avg_text_length"),
         F.countDistinct("_day").alias("unique_dates"),
         F.countDistinct("_platform").alias("platforms"),
     )

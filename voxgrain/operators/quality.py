@@ -74,7 +74,7 @@ def quality_scores(df: DataFrame, text: str = "text", timestamp: str = "timestam
     measures = [F.count(F.lit(1)).alias("_rows"), missing.alias("_missing")]
     cap = lambda value: F.least(value, F.lit(SCORE_CAP))
     metrics = {
-        "completeness": (F.lit(1.0) - F.col("_missing") / (F.col("_rows") * len(df.columns))) * 100.0
+        "completeness": (F.lit(1.0) - F.try_divide(F.col("_missing"), F.col("_rows") * len(df.columns))) * 100.0
     }
     if text in df.columns:
         measures.append(F.avg(F.length(text)).alias("_length"))

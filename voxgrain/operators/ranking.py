@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxgrain.sources.files import materialize
+
 # Spark cuts each group before the shuffle for literal limits below this value
 # (spark.sql.optimizer.windowGroupLimitThreshold, 1000 unless it is set otherwise).
 GROUP_LIMIT_THRESHOLD = 1000
@@ -14,6 +16,7 @@ DEFAULT_SPREAD = 64
 SLOT_BITS = 10
 DRAW_BITS = 32
 QUANTILE_SPLITS = 256
+FEW_VALUES = 1_000_000
 
 
 def keep_top(
@@ -97,14 +100,25 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles, one ``q<percent>`` column each, for any value domain.
 
-    Values are counted, cut into slots at approximate quantiles, and only the slots that
-    hold a wanted position are ranked, so no task sees more than its slots.
+    Distinct values are counted once and written. If they are few, which is checked, the
+    exact percentile runs over the counts; beyond that they are ranked in slots.
+    """
+    counts = materialize(value_counts(df, value, by))
+    if counts.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
+        return _percentiles(counts, value, probabilities, by)
+    return quantiles_in_slots(counts, value, probabilities, by)
+
+
+def quantiles_in_slots(counts: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of counted values (by, value, n) of which there are too many for one task.
+
+    Values are cut into slots at approximate quantiles, and only the slots that hold a
+    wanted position are ranked, so no task sees more than its slots.
     """
     by = list(by)
     # One constant group stands for "no groups", so both cases share a plan.
     groups = by or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(1))
-    counts = value_counts(base, value, groups)
+    counts = counts if by else counts.withColumn("_all", F.lit(1))
     marks = [(i + 1) / QUANTILE_SPLITS for i in range(QUANTILE_SPLITS - 1)]
     splits = counts.groupBy(*groups).agg(
         F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), F.lit(10 * QUANTILE_SPLITS)).alias("_splits"),
@@ -152,9 +166,13 @@ def bounded_quantiles(df: DataFrame, value: str, probabilities: Sequence[float],
     The exact percentile runs over the counted values, so its buffer holds one entry per
     distinct value, never per row.
     """
+    return _percentiles(value_counts(df, value, by), value, probabilities, by)
+
+
+def _percentiles(counts: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
     found = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]), F.col("n"))
     names = [F.get("_found", F.lit(i)).alias(quantile_name(p)) for i, p in enumerate(probabilities)]
-    return value_counts(df, value, by).groupBy(*by).agg(found.alias("_found")).select(*by, *names)
+    return counts.groupBy(*by).agg(found.alias("_found")).select(*by, *names)
 
 
 def quantile_name(probability: float) -> str:

@@ -176,8 +176,8 @@ SQL = {
         keys=lq._KEYS, judged=lq._JUDGED,
     ),
     "sentence_vectors": f"""
-        WITH v AS (SELECT 'w' || vec_id AS word, vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
-        u AS (SELECT word, list_transform(e, x -> x / sqrt(list_sum(list_transform(e, y -> y * y)))) AS e FROM v),
+        WITH v AS (SELECT 'w' || vec_id AS word, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        u AS (SELECT word, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
         t AS (SELECT vec_id, unnest(['w' || vec_id, 'w' || (vec_id + 1), 'w' || (vec_id % 7)]) AS word FROM v),
         d AS (SELECT vec_id, place, avg(x) AS x FROM (SELECT vec_id, unnest(e) AS x, unnest(range({EMBEDDING_SIZE})) AS place
             FROM t JOIN u ON u.word = t.word) GROUP BY vec_id, place)
