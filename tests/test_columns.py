@@ -69,8 +69,8 @@ def test_full_text_and_keywords(spark):
 
 
 def test_terms_and_display(spark):
-    assert one(spark, tx.terms("t"), "Um dia é bom") == ["um", "dia", "bom", "um dia", "dia bom"]
-    assert one(spark, tx.terms("t"), "") == []
+    assert one(spark, tx.words_and_bigrams(tx.tokens("t")), "Um dia é bom") == ["um", "dia", "bom", "um dia", "dia bom"]
+    assert one(spark, tx.words_and_bigrams(tx.tokens("t")), "") == []
     assert one(spark, tx.shorten("t"), "x" * 101) == "x" * 100 + "..."
     assert one(spark, tx.shorten("t"), "x" * 100) == "x" * 100
     assert one(spark, tx.slug("t"), "Taxas A-B") == "taxas_a_b"

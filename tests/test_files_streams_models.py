@@ -104,3 +104,22 @@ def test_too_many_words_are_refused(spark):
     df = spark.createDataFrame([("a a b b c c",)], "text string")
     with pytest.raises(mo.TooManyWords):
         mo.train_word_vectors(df, "text", 4, 1, max_words=2)
+
+
+def test_jobs_from_raw_posts_to_predictions(spark):
+    from voxgrain.plans import jobs
+
+    words = ("bom sol", "ruim chuva", "nuvem normal")
+    rows = [(i, f"Dia {i % 13} {words[i % 3]}!", "reddit" if i % 2 else "twitter") for i in range(60)]
+    posts = spark.createDataFrame(rows, "id long, text string, platform string")
+    root = fl.scratch_folder(spark, "jobs")
+    paths = jobs.preprocess({"a": posts, "b": spark.range(3)}, root, "1", strict=True)
+    assert len(paths) == 1
+    done = spark.read.parquet(paths[0])
+    combined = jobs.preprocess({"a": posts, "c": posts}, root, "2", combine=True, strict=True)
+    assert spark.read.parquet(combined[0]).count() == done.select("lemmatized").distinct().count()
+    model = jobs.train(done, f"{root}/trained", "now", folds=2, max_iterations=5)
+    matrix = jobs.predict(done, model, root, "3")
+    assert {r["platform"]: r["total"] for r in matrix.collect()} == {"reddit": 30, "twitter": 30}
+    assert spark.read.json(f"{root}/trained/report").first()["samples"] == 60
+    assert set(jobs.assess(done)) == {"missing", "verdict", "advice"}

@@ -108,9 +108,8 @@ def word_bigrams(words: Column) -> Column:
     return F.transform(pairs, lambda pair: F.concat_ws(" ", pair["left"], pair["right"]))
 
 
-def terms(text: Column | str) -> Column:
-    """Words and word pairs, the unit of the TF-IDF features."""
-    words = tokens(text)
+def words_and_bigrams(words: Column) -> Column:
+    """Words and word pairs, the unit of the TF-IDF features, of a token array."""
     return F.concat(words, word_bigrams(words))
 
 

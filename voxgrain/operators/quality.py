@@ -106,12 +106,14 @@ def quality_verdict(scores: DataFrame) -> DataFrame:
 
 
 def recommendations(df: DataFrame, timestamp: str = "timestamp", keys: Sequence[str] | None = None) -> DataFrame:
-    """(advice) rows for too few posts, too few days, and repeated rows."""
+    """(advice) rows for too few posts, too few days, and repeated rows.
+
+    Without a time column there is no advice on days.
+    """
     repeats = repeat_counts(df, {"rows": list(keys or df.columns)}).select("repeats").scalar()
-    known = df.agg(F.count(F.lit(1)).alias("n"), F.min(timestamp).alias("first"), F.max(timestamp).alias("last"))
-    advice = F.array(
-        F.when(F.col("n") < WANTED_POSTS, F.lit(ADVICE_POSTS)),
-        F.when(elapsed_days(F.col("first"), F.col("last")) < WANTED_DAYS, F.lit(ADVICE_DAYS)),
-        F.when(repeats > 0, F.lit(ADVICE_REPEATS)),
-    )
-    return known.select(F.explode(F.array_compact(advice)).alias("advice"))
+    measures, advice = [F.count(F.lit(1)).alias("n")], [F.when(F.col("n") < WANTED_POSTS, F.lit(ADVICE_POSTS))]
+    if timestamp in df.columns:
+        measures += [F.min(timestamp).alias("first"), F.max(timestamp).alias("last")]
+        advice.append(F.when(elapsed_days(F.col("first"), F.col("last")) < WANTED_DAYS, F.lit(ADVICE_DAYS)))
+    advice.append(F.when(repeats > 0, F.lit(ADVICE_REPEATS)))
+    return df.agg(*measures).select(F.explode(F.array_compact(F.array(*advice))).alias("advice"))
