@@ -45,10 +45,9 @@ def _numbered(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
         sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "sources"
     )
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    later = sizes.select(F.col("part").alias("earlier"), "n")
-    before = sizes.join(later, F.col("earlier") < F.col("part"), "left").groupBy("part").agg(
-        F.coalesce(F.sum(later["n"]), F.lit(0)).alias("moved")
-    )
+    # One row per range, and ranges are as many as shuffle partitions.
+    earlier = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("moved"))
     row = F.row_number().over(W.Window.partitionBy("part").orderBy(*order)) - 1
     values = F.array(*[F.lit(float(w)) for w in weights])
     return parts.withColumn("row", row).join(before, "part").select(
