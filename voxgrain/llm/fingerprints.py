@@ -107,7 +107,7 @@ def neighbour_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     ids = docs.select((-order.cast("double")).alias("falling"), order.alias("order"))
     n = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(ids.stat.approxQuantile("falling", [i / n for i in range(1, n)], 0.1 / n)))
+    bounds = sorted(set(ids.stat.approxQuantile("falling", [i / n for i in range(1, n)], 0.1 / n))) or [0.0]
     cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="falling", outputCol="bucket")
     # One row per bucket, of which there are at most n.
     firsts = [(r["first"], int(r["bucket"])) for r in cut.transform(ids).groupBy("bucket").agg(F.max("order").alias("first")).orderBy("bucket").collect()]

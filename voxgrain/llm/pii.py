@@ -32,12 +32,12 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 TOKEN = re.compile(r"\S+")
 
 LABELS = ["O", *[f"{b}-{k}" for k in KINDS for b in "BI"]]
 REACH = 3
-"""Tokens around one with a digit or an at sign that are labelled with it; all others are outside by definition."""
+"""Tokens around one with a digit or an at sign, also a written-out one, that are labelled with it; all others are outside by definition."""
 
 
 def luhn(digits: str) -> bool:
