@@ -72,7 +72,7 @@ def test_compliance(spark):
     df = spark.createDataFrame([("ana", "mail a@b.co")], "username string, text string")
     kept = cp.anonymize_posts(df, "reddit", "s")
     assert kept.columns == ["text", "user_hash", "text_clean"] and kept.first()["text_clean"] == "mail [EMAIL]"
-    audit = cp.compliance_audit(df, "twitter", "2024-01-01", contact_dpo="x").first()
+    audit = cp.compliance_audit(df, "twitter", "2024-01-01", {"contact_dpo": "x"}, {"access": "y"}, {"platform": "Twitter/X"}).first()
     assert audit["tos"]["platform"] == "Twitter/X" and audit["processing_info"]["columns_removed"] == ["username"]
     assert audit["lgpd"]["contact_dpo"] == "x"
 

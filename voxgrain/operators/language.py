@@ -19,6 +19,7 @@ UNKNOWN = "unknown"
 OTHERS = "outros"
 PROFILE_GRAMS = 5000
 MAX_PROFILE_GRAMS = 100_000
+MAX_LANGUAGES = 1000
 SCORE_DIGITS = 6
 
 
@@ -29,9 +30,14 @@ def trigrams(text: Column | str) -> Column:
 
 
 def language_list(df: DataFrame, label: str) -> list[str]:
-    """The labels in use, sorted: one short driver list, as for a pivot."""
-    found = df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(1000)
-    return [row[0] for row in found.collect()]
+    """The labels in use, sorted: one short driver list, as for a pivot.
+
+    More labels than MAX_LANGUAGES are refused rather than cut.
+    """
+    found = df.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return [row[0] for row in found]
 
 
 def language_profile(

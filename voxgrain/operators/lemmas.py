@@ -18,9 +18,10 @@ LITERAL_ENTRIES = 200
 def lemmatize(df: DataFrame, text: str, output: str, key: str, lexicon: Lexicon | None) -> DataFrame:
     """Add ``output``: the words of a cleaned text, each replaced by its lemma if it has one.
 
-    ``lexicon`` is a mapping form -> lemma or a DataFrame (form, lemma) with unique forms;
-    ``key`` identifies a row of ``df``. Spark broadcasts the table only below its size
-    threshold and otherwise joins by shuffle, splitting skewed forms at run time.
+    ``lexicon`` is a mapping form -> lemma or a DataFrame (form, lemma), of whose repeated
+    forms the smallest lemma counts. Rows need no key of their own: ``key`` may be null or
+    repeated. Spark broadcasts the table only below its size threshold and otherwise joins
+    by shuffle, splitting skewed forms at run time. Null texts stay null.
     """
     if lexicon is None:
         return df.withColumn(output, F.col(text))
@@ -31,7 +32,7 @@ def lemmatize(df: DataFrame, text: str, output: str, key: str, lexicon: Lexicon
     if isinstance(lexicon, Mapping):
         rows = [(form, lemma) for form, lemma in lexicon.items()]
         lexicon = df.sparkSession.createDataFrame(rows, "form string, lemma string")
-    return _by_join(df, text, output, key, lexicon)
+    return _by_join(df, text, output, lexicon)
 
 
 def _by_literal(text, lexicon):
@@ -41,15 +42,16 @@ def _by_literal(text, lexicon):
     return F.array_join(words, " ")
 
 
-def _by_join(df, text, output, key, lexicon):
-    words = df.select(key, F.posexplode(F.split(text, " ")).alias("_at", "_word"))
-    forms = lexicon.select(F.col("form").alias("_word"), F.col("lemma").alias("_lemma"))
-    told = words.join(forms, "_word", "left").select(
-        key, "_at", F.coalesce("_lemma", "_word").alias("_lemma")
-    )
-    lines = told.groupBy(key).agg(
+def _by_join(df, text, output, lexicon):
+    """Lemmas of every distinct text, found again by the text's digest, so keys do not matter."""
+    digest = F.sha2(text, 256)
+    texts = df.where(F.col(text).isNotNull()).groupBy(digest.alias("_digest")).agg(F.first(text).alias("_text"))
+    words = texts.select("_digest", F.posexplode(F.split("_text", " ")).alias("_at", "_word"))
+    forms = lexicon.groupBy(F.col("form").alias("_word")).agg(F.min("lemma").alias("_lemma"))
+    told = words.join(forms, "_word", "left").select("_digest", "_at", F.coalesce("_lemma", "_word").alias("_lemma"))
+    lines = told.groupBy("_digest").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("_at", "_lemma"))), lambda part: part["_lemma"]), " "
         ).alias(output)
     )
-    return df.join(lines, key, "left")
+    return df.join(lines, digest == lines["_digest"], "left").drop("_digest")

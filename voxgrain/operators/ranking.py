@@ -116,9 +116,10 @@ def quantiles_in_slots(counts: DataFrame, value: str, probabilities: Sequence[fl
     wanted position are ranked, so no task sees more than its slots.
     """
     by = list(by)
-    # One constant group stands for "no groups", so both cases share a plan.
-    groups = by or ["_all"]
-    counts = counts if by else counts.withColumn("_all", F.lit(1))
+    # The group is one struct, which is never null, so null values are a group like any other
+    # and no groups at all are one.
+    groups = ["_group"]
+    counts = counts.withColumn("_group", F.struct(F.lit(1).alias("_all"), *[F.col(c) for c in by]))
     marks = [(i + 1) / QUANTILE_SPLITS for i in range(QUANTILE_SPLITS - 1)]
     splits = counts.groupBy(*groups).agg(
         F.percentile_approx(value, F.array(*[F.lit(m) for m in marks]), F.lit(10 * QUANTILE_SPLITS)).alias("_splits"),
@@ -157,7 +158,8 @@ def quantiles_in_slots(counts: DataFrame, value: str, probabilities: Sequence[fl
         )
         at = F.lit(p) * (F.max("_rows") - 1)
         outputs.append((pick(0) + (at - F.floor(at)) * (pick(1) - pick(0))).alias(quantile_name(p)))
-    return found.groupBy(*groups).agg(*outputs).drop("_all")
+    names = [quantile_name(p) for p in probabilities]
+    return found.groupBy(*groups).agg(*outputs).select(*[F.col("_group")[c].alias(c) for c in by], *names)
 
 
 def bounded_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

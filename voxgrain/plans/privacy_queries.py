@@ -61,9 +61,18 @@ def anonymized_posts(spark, sf_dir):
     return co.anonymize_posts(df, "reddit", ip.SALT, keep_raw_text=False)
 
 
+# The queries' own wording of the audit.
+PRIVACY_TERMS = {
+    "anonymization_method": "salted hash", "pii_removal": "yes", "retention_policy": "30 days", "legal_basis": "consent",
+    "data_controller": "Sample Lab", "contact_dpo": "privacy@sample.example",
+}
+USER_RIGHTS = {"access": "on request", "erasure": "at the end of retention"}
+PLATFORM_TERMS = {"platform": "Reddit", "allowed_use": "internal tests", "commercial_use": "no"}
+
+
 def _audit(spark, sf_dir):
     df = ip.posts(spark, sf_dir).select("id", "text", "username")
-    return co.compliance_audit(df, "reddit", ip.AS_OF)
+    return co.compliance_audit(df, "reddit", ip.AS_OF, PRIVACY_TERMS, USER_RIGHTS, PLATFORM_TERMS)
 
 
 def compliance_audit(spark, sf_dir):
@@ -108,12 +117,12 @@ _LINE = (
     "'-1234; 123.456.789-09; https://www.instagram.com/u' || lpad(page_id::VARCHAR, 4, '0') || ' fim; ' || url"
 )
 _AUTHOR = "CASE WHEN event_type <> 'error' THEN 'u' || user_id ELSE 'deleted' END"
-_TERMS = co.PLATFORM_TERMS["reddit"]
 _ROWS = (
     [("lgpd", "collected_at", ip.AS_OF), ("lgpd", "data_source", "reddit")]
-    + [("lgpd", k, v) for k, v in co.PRIVACY_TERMS.items()]
-    + [("user_rights", k, v) for k, v in co.USER_RIGHTS.items()]
-    + [("tos", k, v) for k, v in _TERMS.items()]
+    + [("lgpd", "anonymization_method", "salted hash"), ("lgpd", "pii_removal", "yes"), ("lgpd", "retention_policy", "30 days"),
+       ("lgpd", "legal_basis", "consent"), ("lgpd", "data_controller", "Sample Lab"), ("lgpd", "contact_dpo", "privacy@sample.example")]
+    + [("user_rights", "access", "on request"), ("user_rights", "erasure", "at the end of retention")]
+    + [("tos", "platform", "Reddit"), ("tos", "allowed_use", "internal tests"), ("tos", "commercial_use", "no")]
     + [("tos", "compliance_date", ip.AS_OF)]
     + [("processing_info", k, v) for k, v in (
         ("anonymization_applied", "true"), ("pii_removal_applied", "true"), ("columns_removed", "username"))]
@@ -138,7 +147,7 @@ SQL = {
     ),
     "compliance_audit": sql.with_posts(
         f"""SELECT '{ip.AS_OF}' AS collected_at, 'reddit' AS data_source,
-        {sql.quoted(co.PRIVACY_TERMS['retention_policy'])} AS retention_policy, 'Reddit' AS tos_platform,
+        '30 days' AS retention_policy, 'Reddit' AS tos_platform,
         count(*) AS original_records, count(*) AS final_records, 'username' AS columns_removed FROM posts"""
     ),
     "compliance_report_rows": sql.with_posts(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +23,9 @@ CSV_WRITE = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "i
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a local session may go without that setting; it then uses the machine's own
-    temporary folder.
+    Without that setting it lies below the session's warehouse, which executors share too.
     """
-    base = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="voxgrain-")
-        spark.conf.set(CHECKPOINT_SETTING, base)
+    base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/voxgrain-{purpose}-{uuid.uuid4().hex}"
 
 
@@ -45,20 +39,27 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def read_posts(
     spark: SparkSession, path: str | Sequence[str], fmt: str = "parquet", schema: T.StructType | None = None,
-    pattern: str | None = None, recursive: bool = False, with_source: bool = False,
+    pattern: str | None = None, recursive: bool = False, with_source: bool = False, multi_line: bool = True,
 ) -> DataFrame:
     """Read csv, json (one object per line) or parquet files.
 
-    ``pattern`` is a glob on file names. CSV files are read whole, one task per file,
-    because texts hold line breaks. ``with_source`` adds the file's stem as ``file_source``.
+    ``pattern`` is a glob on file names. CSV files are read whole, one task per file, because
+    texts hold line breaks; ``multi_line`` off splits them. Without a schema, CSV files are
+    read by their own headers and united by name; a column missing from a file is null there.
+    ``with_source`` adds the file's stem as ``file_source``.
     """
+    if fmt == "csv" and schema is None:
+        groups = _by_header(spark, path, pattern, recursive)
+        if len(groups) > 1:
+            parts = [read_posts(spark, paths, fmt, T.StructType([T.StructField(c, T.StringType()) for c in header]), None, False, with_source, multi_line) for header, paths in groups.items()]
+            return combine(parts)
     reader = spark.read.option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.options(**CSV_READ)
+        reader = reader.options(**{**CSV_READ, "multiLine": multi_line})
     df = reader.format(fmt).load(path)
     if with_source:
         stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
@@ -66,6 +67,39 @@ def read_posts(
     return df
 
 
+def _by_header(spark: SparkSession, path: str | Sequence[str], pattern: str | None, recursive: bool) -> dict[tuple[str, ...], list[str]]:
+    """Paths of the CSV files by the columns their first line names, in order of path."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in reader.load(path).select("path").orderBy("path").collect():
+        header = tuple(spark.read.options(**CSV_READ).csv(row["path"]).columns)
+        groups.setdefault(header, []).append(row["path"])
+    return groups
+
+
+def read_each(
+    spark: SparkSession, folder: str, fmt: str, required: Sequence[str], pattern: str | None = None
+) -> tuple[dict[str, DataFrame], dict[str, list[str]]]:
+    """Every file of a folder for itself, by its stem: those with the required columns, and what the others lack.
+
+    A file that cannot be read counts as lacking everything.
+    """
+    reader = spark.read.format("binaryFile")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    sources, broken = {}, {}
+    for row in reader.load(folder).select("path").orderBy("path").collect():
+        stem = row["path"].rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        try:
+            sources[stem] = read_posts(spark, row["path"], fmt, with_source=True)
+        except AnalysisException:
+            broken[stem] = list(required)
+    good, lacking = usable(sources, required)
+    return good, lacking | broken
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows over the cores by key if the scan has fewer splits than cores.
 
@@ -168,21 +202,19 @@ def file_inventory(files: DataFrame) -> DataFrame:
 
 
 def newest_dataset(spark: SparkSession, folder: str, pattern: str) -> str:
-    """The subfolder that holds the most recently modified file; the last name on a tie."""
-    newest = (
-        list_files(spark, folder, pattern)
-        .groupBy("folder").agg(F.max("modified").alias("modified"))
-        .orderBy(F.desc("modified"), F.desc("folder")).limit(1)
-    )
-    found = newest.select("folder").first()
+    """The most recently modified file, the last path on a tie; of a Spark-written one, its folder."""
+    newest = list_files(spark, folder, pattern).orderBy(F.desc("modified"), F.desc("path")).limit(1)
+    found = newest.select("folder", "path", "file_name").first()
     if found is None:
         raise FileNotFoundError(f"no {pattern} below {folder}")
-    return found["folder"]
+    return found["folder"] if found["file_name"].startswith("part-") else found["path"]
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: rows and an order-free checksum."""
-    digest = F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)")
+    # A hash passes over nulls, so every column also says whether it is one.
+    parts = [part for c in sorted(df.columns) for part in (F.col(c).isNull(), F.col(c))]
+    digest = F.xxhash64(*parts).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(digest), F.lit(0).cast("decimal(38,0)")).alias("checksum"))
 
 
