@@ -32,7 +32,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [BEFORE_BLANK.split(t) if BLANK_AFTER_BLANK.search(t) else self._simple(t) for t in texts]
+        pieces = [self._any(t) if BLANK_AFTER_BLANK.search(t) or "\0" in t else self._simple(t) for t in texts]
         known = self.known
         unknown = list(set().union(*pieces) - known.keys())
         if len(known) + len(unknown) > CACHED_PIECES:
@@ -40,15 +40,23 @@ class Encoder:
             unknown = list(set().union(*pieces))
         for start in range(0, len(unknown), 1024):
             some = unknown[start:start + 1024]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            told = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in some]
+            for piece, found in zip(some, self.tokenizer.encode_batch_fast(told, add_special_tokens=False)):
                 known[piece] = array("I", found.ids).tobytes()
         return [b"".join(map(known.__getitem__, p)) for p in pieces]
 
+    # A piece is remembered without its leading blank; one that stands for itself has a zero in front.
+
+    @staticmethod
+    def _any(text: str) -> list[str]:
+        return ["\0" + p for p in BEFORE_BLANK.split(text)]
+
     @staticmethod
     def _simple(text: str) -> list[str]:
         """The same cut where no blank follows white space, with fast string methods."""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[:1] == "\n" else " " + p for p in rest]]
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\0" + pieces[0]
+        return pieces
 
 
 @functools.lru_cache(maxsize=4)
