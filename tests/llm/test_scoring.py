@@ -174,6 +174,14 @@ def test_mixing_query(spark):
     mixed_right(docs, queries.op8_mixing(spark, SMALL).collect())
 
 
+def test_rows_without_key_are_mixed_by_text(spark):
+    rows = [(None, f"one two three {i}", s) for i in range(6) for s in ("a", None)] + [(1, "four words are here", "a")]
+    mixed = mixing.mix(messy(spark, rows), weights=(1, 1)).collect()
+    plan = mixing.balance(messy(spark, rows), weights=(1, 1)).collect()
+    assert any(r["doc_id"] is None for r in mixed)
+    assert sum(len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in plan)
+
+
 def test_mixing_edges(spark):
     found = mixing.balance(messy(spark)).collect()
     assert len(found) == len(MESSY)

@@ -87,11 +87,16 @@ def _multiplier(size: Column, target: Column) -> Column:
     return F.when((size > 0) & (target > 0), solved)
 
 
+def _draw(key: str, text: str) -> Column:
+    """A hash of the document; rows alike in key and text have the same."""
+    return F.xxhash64(F.col(key), F.xxhash64(text))
+
+
 def balance(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, key: str = "doc_id",
     text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """(key, size, source_size, target, copies, extra, taken) per row of ``docs``.
+    """(key, size, source_size, target, copies, extra, taken, draw, source) per row of ``docs``.
 
     ``copies`` whole copies and the first ``extra`` words of one more are taken, ``taken`` words
     together, never above ``most`` times the size. A source's taken words are its target, rounded.
@@ -99,7 +104,7 @@ def balance(
     source, the last. Rows alike in key and text have the same draw and are treated alike but for
     a correction that ends among them. Other columns are not read. Without words nothing is taken.
     """
-    draw = F.xxhash64(F.col(key), F.xxhash64(text)).alias("draw")
+    draw = _draw(key, text).alias("draw")
     sized = stored(
         docs.select(
             F.col(key).alias("key"), F.col(source).isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source"),
@@ -148,21 +153,25 @@ def balance(
     full = F.when(F.col("size") == 0, F.col("copies")).otherwise(F.expr("taken div size"))
     return taken.join(rated.select(*name, "source_size", "target"), name).select(
         F.col("key").alias(key), "size", "source_size", "target", full.alias("copies"),
-        F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("taken") % F.col("size")).alias("extra"), "taken",
+        F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("taken") % F.col("size")).alias("extra"), "taken", "draw",
+        F.when(~F.col("no_source"), F.col("source")).alias("source"),
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """``docs`` with every row repeated as often as it is taken; a part copy has the text's first words.
 
-    Keys must be unique among the rows that have one; rows without a key are left out, as no copies
-    can be told for them.
+    Rows alike in key, text and source are taken alike, each as often as the one taken most; so
+    rows without a key are told apart by their text and source.
     """
-    plan = balance(docs, key=key, text=text, **settings)
-    plan = plan.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("copies").alias("_copies"), F.max("extra").alias("_extra"))
+    alike = [F.col(key).alias("_key"), F.col("draw").alias("_draw"), F.col("source").alias("_source")]
+    plan = balance(docs, key=key, text=text, source=source, **settings)
+    plan = plan.groupBy(*alike).agg(F.max(F.struct("copies", "extra")).alias("_most"))
+    plan = plan.select("_key", "_draw", "_source", F.col("_most.copies").alias("_copies"), F.col("_most.extra").alias("_extra"))
     plan = plan.where((F.col("_copies") > 0) | (F.col("_extra") > 0))
     parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_copies").cast("int")), F.when(F.col("_extra") > 0, F.array("_extra")).otherwise(F.array().cast("array<long>")))
-    rows = docs.join(plan, docs[key] == plan["_key"]).withColumn("_part", F.explode(parts))
+    same = (_draw(key, text) == plan["_draw"]) & docs[key].eqNullSafe(plan["_key"]) & docs[source].eqNullSafe(plan["_source"])
+    rows = docs.join(plan, same).withColumn("_part", F.explode(parts))
     words = F.split(F.regexp_replace(text, f"^[{WHITE}]+", ""), f"[{WHITE}]+")
     first = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
     return rows.withColumn(text, F.when(F.col("_part") < 0, F.col(text)).otherwise(first)).select(*docs.columns)
