@@ -43,12 +43,17 @@ def _words(ids: np.ndarray) -> np.ndarray:
     places = np.arange(n)
     best, selector = np.ones(n, np.int64), np.full(n, 15)
     for s in range(14, -1, -1):
-        if not (ids < (np.uint64(1) << np.uint64(WIDTHS[s]))).any():
-            break  # nor will a narrower one fit
-        wide = np.where(ids >> np.uint64(WIDTHS[s]), places, n)
-        until = np.minimum.accumulate(wide[::-1])[::-1]  # the next id too wide
-        fits = np.minimum(until - places, n - places) >= COUNTS[s]
-        best[fits], selector[fits] = COUNTS[s], s
+        if n < COUNTS[s]:
+            break
+        # Where each run of ids narrow enough ends: at the next id too wide, or behind the last.
+        wide = np.r_[np.flatnonzero(ids >> np.uint64(WIDTHS[s])), n]
+        free = np.diff(wide, prepend=-1) - 1
+        long = np.flatnonzero(free >= COUNTS[s])
+        if not len(long):
+            break  # more ids of fewer bits fit nowhere either
+        fitting = free[long] - COUNTS[s] + 1
+        first = np.repeat(wide[long] - free[long] - (np.cumsum(fitting) - fitting), fitting) + np.arange(fitting.sum())
+        best[first], selector[first] = COUNTS[s], s
     jump, starts, at = (places + best).tolist(), [], 0
     while at < n:
         starts.append(at)
