@@ -49,8 +49,14 @@ def process_posts(
     ``language_ok`` is a boolean Column over ``df`` (say, a detected language compared
     with the wanted one). Texts are lemmatised only where they are valid; without a
     lexicon the cleaned text stands for its lemmas.
+
+    The language test comes first, as a predicate of its own that can reach the scan. The
+    cleaned text is made by exploding an array of one, which the length test is not pushed
+    through, so each text is cleaned once.
     """
-    cleaned = df.withColumn("original", F.col(text)).withColumn("cleaned", tx.clean_text(text))
+    if language_ok is not None and not keep_invalid:
+        df, language_ok, strict = df.where(language_ok), None, True
+    cleaned = df.withColumn("original", F.col(text)).withColumn("cleaned", F.explode(F.array(tx.clean_text(text))))
     valid = validity(F.col("cleaned"), min_length, max_length, language_ok, strict)
     marked = cleaned.withColumn("is_valid", valid).withColumn("length", F.length("cleaned"))
     if not keep_invalid:
@@ -92,9 +98,17 @@ def before_after(df: DataFrame) -> DataFrame:
     )
 
 
+def _digest(text: str) -> Column:
+    """Digest of a text; null has one of its own."""
+    return F.sha2(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("")), 256)
+
+
 def drop_repeats(df: DataFrame, text: str = "lemmatized", key: str = "id") -> DataFrame:
-    """Keep the row with the smallest key of each group of equal texts."""
-    return first_per_key(df, [text], [F.col(key)])
+    """Keep the row with the smallest key of each group of equal texts.
+
+    Rows are grouped and sorted by digest, and each task sends one row per digest.
+    """
+    return first_per_key(df.withColumn("_digest", _digest(text)), ["_digest"], [F.col(key)]).drop("_digest")
 
 
 def repeat_counts(df: DataFrame, text: str = "lemmatized") -> DataFrame:
@@ -102,7 +116,7 @@ def repeat_counts(df: DataFrame, text: str = "lemmatized") -> DataFrame:
 
     Groups are counted by digest, so whole texts are not shuffled.
     """
-    groups = df.groupBy(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(text)), F.lit("")), 256).alias("_digest")).count()
+    groups = df.groupBy(_digest(text).alias("_digest")).count()
     return groups.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("rows_before"),
         F.count(F.lit(1)).alias("rows_after"),

@@ -12,7 +12,7 @@ from voxgrain.functions.privacy import author_or_deleted, short_hash
 from voxgrain.functions.stats import ratio
 from voxgrain.operators.ranking import exact_quantiles, first_per_key, keep_top
 from voxgrain.sources.files import materialize
-from voxgrain.sources.topic import TOP_UP_SCAN, Topic
+from voxgrain.sources.topic import SEARCH_HOURS, TOP_UP_SCAN, Topic
 
 # Weights of the relevance score, days until a post counts as old, tags of
 # topped-up posts, and the start of post addresses.
@@ -25,6 +25,9 @@ TOP_UP_KEYWORD = "general"
 POST_URL_PREFIX = "https://reddit.com"
 SECONDS_PER_DAY = 86400
 
+# Found posts are sent to all tasks up to this many rows of a key, names and places.
+BROADCAST_ROWS = 200_000
+
 PICK_ORDER = ("method_place", "keyword_place", "rank")
 
 
@@ -79,13 +82,29 @@ def epoch(timestamp: Column) -> Column:
     return F.unix_timestamp(timestamp.cast("timestamp"))
 
 
-def search_candidates(df: DataFrame, topic: Topic) -> DataFrame:
+def within_time(timestamp: Column, topic: Topic, as_of: Column) -> Column:
+    """Whether a post is recent enough for the topic's searches at a time."""
+    hours = SEARCH_HOURS[topic.time_filter]
+    return F.lit(True) if hours is None else epoch(timestamp) >= epoch(as_of) - hours * 3600
+
+
+def sent_whole(keys: DataFrame, most: int) -> DataFrame:
+    """A table of at most ``most`` rows, broadcast if that is few enough."""
+    return F.broadcast(keys) if most <= BROADCAST_ROWS else keys
+
+
+def search_candidates(df: DataFrame, topic: Topic, as_of: Column | None = None) -> DataFrame:
     """What the searches return: one row per post, method and matching keyword.
 
+    ``as_of`` is the time of the search: older posts than the topic's time filter lets
+    through are not found. Without it posts of any age are.
+
     Each search in a community is cut to its own limit: ``top`` by score, ``new`` by time,
     ``hot`` by hot rank and any other method by how often the keyword occurs. Only keys
     and ranks are fanned out, never texts, and only for keywords that match.
     """
+    if as_of is not None:
+        df = df.where(within_time(F.col("timestamp"), topic, as_of))
     keywords = F.array(
         *[
             F.when(tx.has_keyword("text", [word]), F.struct(F.lit(i).alias("place"), F.lit(word).alias("word"),
@@ -133,11 +152,11 @@ def first_seen(candidates: DataFrame, by: tuple[str, ...] = ("subreddit", "id"))
 def within_quota(seen: DataFrame, posts: DataFrame, topic: Topic, language_ok: Column | None = None) -> DataFrame:
     """Join first-seen candidates with their posts, filter, and keep each community's quota.
 
-    ``seen`` holds no more than the search limits allow, so ``posts`` is reduced by it
-    before texts move.
+    ``seen`` holds no more than the search limits allow. If that is few enough it goes to
+    the posts, and texts move only for posts that are in it.
     """
     kept = posts.where(passes_filters(topic, language_ok))
-    picked = kept.join(seen, ["id", "subreddit"])
+    picked = kept.join(sent_whole(seen, topic.most_found()), ["id", "subreddit"])
     bound = max(topic.quota(name) for name in topic.communities)
     order = [F.col(name) for name in PICK_ORDER] + [F.col("id")]
     return keep_top(picked, ["subreddit"], order, per_community(topic, topic.quota), "id", bound, rank="place")
@@ -161,13 +180,13 @@ def top_up(selected: DataFrame, candidates: DataFrame, posts: DataFrame, topic:
     looked_at = (
         hottest.join(have, "subreddit", "left")
         .where(F.col("rank") <= missing)
-        .join(candidates.select("id", "subreddit").distinct(), ["id", "subreddit"], "left_anti")
+        .join(sent_whole(candidates.select("id", "subreddit").distinct(), topic.most_found()), ["id", "subreddit"], "left_anti")
         .select("id", "subreddit", "rank")
     )
     fits = tx.has_keyword("text", topic.keywords) & (F.length("text") >= topic.min_length)
     return (
         posts.where(fits)
-        .join(looked_at, ["id", "subreddit"])
+        .join(sent_whole(looked_at, TOP_UP_SCAN * len(topic.communities)), ["id", "subreddit"])
         .withColumn("search_method", F.lit(TOP_UP_METHOD))
         .withColumn("search_keyword", F.lit(TOP_UP_KEYWORD))
     )
@@ -210,7 +229,7 @@ def collect_posts(posts: DataFrame, topic: Topic, as_of: Column, language_ok: Co
     bound them, so they are computed once and written, instead of searching all texts
     again for every use.
     """
-    candidates = materialize(search_candidates(posts, topic))
+    candidates = materialize(search_candidates(posts, topic, as_of))
     selected = materialize(within_quota(first_seen(candidates), posts, topic, language_ok))
     added = top_up(selected, candidates, posts, topic)
     shape = [*posts.columns, "search_method", "search_keyword", "rank"]

@@ -100,10 +100,17 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles, one ``q<percent>`` column each, for any value domain.
 
-    Distinct values are counted once and written. If they are few, which is checked, the
-    exact percentile runs over the counts; beyond that they are ranked in slots.
+    Distinct values are counted once and written.
+    """
+    return counted_quantiles(materialize(value_counts(df, value, by)), value, probabilities, by)
+
+
+def counted_quantiles(counts: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The same from distinct values and their counts (by, value, n), written before.
+
+    If they are few, which is checked, the exact percentile runs over the counts; beyond
+    that they are ranked in slots.
     """
-    counts = materialize(value_counts(df, value, by))
     if counts.limit(FEW_VALUES + 1).count() <= FEW_VALUES:
         return _percentiles(counts, value, probabilities, by)
     return quantiles_in_slots(counts, value, probabilities, by)

@@ -10,7 +10,8 @@ from voxgrain.functions.stats import count_where, percent, percent_tenths
 from voxgrain.functions.text import shorten
 from voxgrain.operators.labels import CLASSES
 from voxgrain.operators.profiling import histogram
-from voxgrain.operators.ranking import exact_quantiles, keep_top
+from voxgrain.operators.ranking import counted_quantiles, keep_top
+from voxgrain.sources.files import materialize
 
 # Order of the classes in the report, confidence levels, and the number of
 # confidence bins.
@@ -99,18 +100,25 @@ def display_rows(sample: DataFrame, key: str, text: str = "lemmatized", sentimen
 def prediction_stats(df: DataFrame) -> DataFrame:
     """One row: predictions per class and share, confidence summary, high and low counts.
 
-    Confidence quantiles come from counts of distinct values (see exact_quantiles).
+    The rows are read once, to count each confidence of each class; every figure comes
+    from these counts.
     """
-    quartiles = exact_quantiles(df, "confidence", (0.25, 0.5, 0.75)).select(F.struct("q25", "q50", "q75")).scalar()
-    counted = df.agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        *[count_where(F.col("predicted_sentiment") == c).alias(c) for c in CLASSES],
-        F.avg("confidence").alias("avg_confidence"),
-        F.stddev_samp("confidence").alias("std_confidence"),
+    value, n = F.col("confidence"), F.col("n")
+    counts = materialize(df.groupBy("confidence", "predicted_sentiment").agg(F.count(F.lit(1)).alias("n")))
+    given = counts.where(value.isNotNull()).groupBy("confidence").agg(F.sum("n").alias("n"))
+    quartiles = counted_quantiles(given, "confidence", (0.25, 0.5, 0.75)).select(F.struct("q25", "q50", "q75")).scalar()
+    mean = given.select(F.try_divide(F.sum(value * n), F.sum("n"))).scalar()
+    having = lambda condition: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+    filled = having(value.isNotNull())
+    counted = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_predictions"),
+        *[having(F.col("predicted_sentiment") == c).alias(c) for c in CLASSES],
+        mean.alias("avg_confidence"),
+        F.when(filled > 1, F.sqrt(F.try_divide(F.sum(n * (value - mean) ** 2), filled - 1))).alias("std_confidence"),
         F.min("confidence").alias("min_confidence"),
         F.max("confidence").alias("max_confidence"),
-        count_where(F.col("confidence") > HIGH_CONFIDENCE).alias("high_confidence"),
-        count_where(F.col("confidence") < LOW_CONFIDENCE).alias("low_confidence"),
+        having(value > HIGH_CONFIDENCE).alias("high_confidence"),
+        having(value < LOW_CONFIDENCE).alias("low_confidence"),
     )
     return counted.select(
         "*", *[percent(c, "total_predictions").alias(f"{c}_pct") for c in CLASSES],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from voxgrain.functions import text as tx
@@ -26,7 +28,7 @@ def landed_posts(spark, sf_dir):
         F.col("page_id").alias("id"), F.regexp_extract("url", "^https?://[^/]*(.*)$", 1).alias("permalink")
     )
     author = F.when(F.col("search_method") != "error", F.col("username"))
-    submissions = df.join(pages, "id").select(
+    submissions = df.join(pages, "id", "left").select(
         "id", "title", "selftext", col.epoch(F.col("timestamp")).alias("created_utc"), author.alias("author"), "score",
         F.lit(None).cast("double").alias("upvote_ratio"), "num_comments", "subreddit", "permalink",
     )
@@ -49,6 +51,13 @@ def candidate_fanout(spark, sf_dir):
     return found.select("id", "subreddit", "search_method", "search_keyword", "rank")
 
 
+def collect_time_filter(spark, sf_dir):
+    """The searches of the last week only."""
+    topic = replace(TOPIC, time_filter="week")
+    found = col.search_candidates(ip.text_posts(spark, sf_dir), topic, _as_of())
+    return found.select("id", "subreddit", "search_method", "search_keyword", "rank")
+
+
 def dedup_first_seen(spark, sf_dir):
     found = col.first_seen(col.search_candidates(ip.text_posts(spark, sf_dir), TOPIC))
     return found.select("id", "subreddit", "search_method", "search_keyword", "rank")
@@ -94,7 +103,7 @@ def community_distribution(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        full_text, landed_posts, keyword_match, collect_filters, candidate_fanout, dedup_first_seen,
+        full_text, landed_posts, keyword_match, collect_filters, candidate_fanout, collect_time_filter, dedup_first_seen,
         quota_select, hot_topup, collected_posts, relevance_topk, collection_stats, community_distribution,
     )
 }
@@ -151,9 +160,13 @@ _SEARCHED = {
 }
 
 
-def _with(query, last):
+def _until(last):
     names = list(_SEARCHED)
-    return sql.with_posts(query, **{name: _SEARCHED[name] for name in names[: names.index(last) + 1]})
+    return {name: _SEARCHED[name] for name in names[: names.index(last) + 1]}
+
+
+def _with(query, last):
+    return sql.with_posts(query, **_until(last))
 
 
 def _relevance(source):
@@ -175,7 +188,7 @@ SQL = {
         CASE WHEN search_method <> 'error' THEN username ELSE 'deleted' END AS username,
         score, CAST(NULL AS DOUBLE) AS upvote_ratio, num_comments, subreddit,
         'https://reddit.com' || regexp_extract(url, '^https?://[^/]*(.*)$', 1) AS url,
-        TIMESTAMP '{ip.AS_OF}' AS collected_at FROM posts p JOIN pages g ON g.page_id = p.id"""
+        TIMESTAMP '{ip.AS_OF}' AS collected_at FROM posts p LEFT JOIN pages g ON g.page_id = p.id"""
     ),
     "keyword_match": sql.with_posts(
         "SELECT id, concat_ws(',', "
@@ -184,6 +197,11 @@ SQL = {
     ),
     "collect_filters": sql.with_posts(f"SELECT id, subreddit, score, lang FROM posts WHERE subreddit IN ({_IN}) AND {_FILTERS}"),
     "candidate_fanout": _with("SELECT id, subreddit, search_method, search_keyword, CAST(rank AS INTEGER) AS rank FROM candidates", "candidates"),
+    "collect_time_filter": sql.with_named(
+        "SELECT id, subreddit, search_method, search_keyword, CAST(rank AS INTEGER) AS rank FROM candidates",
+        posts=f"""SELECT * FROM ({sql.POSTS}) WHERE "timestamp" >= TIMESTAMP '{ip.AS_OF}' - INTERVAL 7 DAY""",
+        **_until("candidates"),
+    ),
     "dedup_first_seen": _with("SELECT id, subreddit, search_method, search_keyword, CAST(rank AS INTEGER) AS rank FROM seen", "seen"),
     "quota_select": _with("SELECT id, subreddit, search_method, search_keyword, CAST(place AS INTEGER) AS place FROM selected", "selected"),
     "hot_topup": _with(

@@ -107,7 +107,7 @@ def lang_id(spark, sf_dir):
 
 
 def language_mix(spark, sf_dir):
-    sample = lg.language_sample(ip.table(spark, sf_dir, "documents"), "doc_id", 300)
+    sample = lg.language_sample(ip.table(spark, sf_dir, "documents"), "doc_id")
     return lg.language_mix(_detected(spark, sf_dir, sample), top=2)
 
 
@@ -232,7 +232,7 @@ SQL = {
         round(sum(n) * 100.0::DOUBLE / max(total), 4) AS pct FROM (
           SELECT detected_lang, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, detected_lang) AS place,
             sum(count(*)) OVER () AS total
-          FROM detected WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY {sql.draw('doc_id')}, doc_id LIMIT 300)
+          FROM detected WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY {sql.draw('doc_id')}, doc_id LIMIT 1000)
           GROUP BY detected_lang) GROUP BY 1"""
     ),
     "language_share": _with_profile(

@@ -20,9 +20,10 @@ def hourly_sentiment(spark, sf_dir):
     valid = cl.process_posts(
         ip.text_posts(spark, sf_dir), min_length=ip.MIN_LENGTH, max_length=ip.MAX_LENGTH, strict=True
     )
-    unique = cl.drop_repeats(valid.select("id", "timestamp", "lemmatized"))
+    # Labelled before repeats are dropped, so that only digests and labels are shuffled.
     label = weak_label("lemmatized", "id", ip.GOOD_WORDS, ip.BAD_WORDS)
-    return rp.hourly_sentiment(unique.withColumn("predicted_sentiment", label))
+    unique = cl.drop_repeats(valid.select("id", "timestamp", "lemmatized", label.alias("predicted_sentiment")))
+    return rp.hourly_sentiment(unique)
 
 
 def scored_records(spark, sf_dir):

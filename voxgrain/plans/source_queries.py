@@ -102,9 +102,11 @@ def required_columns(spark, sf_dir):
 
 
 def partitioned_out(spark, sf_dir):
-    """One folder per source; reading one source back scans that folder only."""
+    """One folder per source, all read back, and one of them once more by a scan of that folder only."""
     path = fl.write_posts(_documents(spark, sf_dir), fl.scratch_folder(spark, "by-source"), by=["source"])
-    return fl.read_posts(spark, path).where(F.col("source") == "src3").select("doc_id", "text", "lang", "source", "n_chars")
+    written = fl.read_posts(spark, path)
+    only = written.where(F.col("source") == "src3").select("doc_id", F.lit(True).alias("in_src3"))
+    return written.join(only, "doc_id", "left").select("doc_id", "text", "lang", "source", "n_chars", "in_src3")
 
 
 def topic_slug(spark, sf_dir):
@@ -131,7 +133,7 @@ def stream_dedup(spark, sf_dir):
     events = ip.table(spark, sf_dir, "events")
     root = fl.scratch_folder(spark, "landed")
     for _ in range(2):
-        fl.write_posts(events.coalesce(1), root, mode="append")
+        fl.write_posts(events, root, mode="append")
     stream = st.event_time(st.ingest(spark, root, events.schema, files_per_trigger=1), "ts", DELAY)
     return _drained(spark, st.drop_repeats(stream, "event_id").select("event_id", "event_type"), "dedup")
 
@@ -180,7 +182,7 @@ SQL = {
     "quarantine": "SELECT event_id, event_type, round(value, 6) AS value FROM events WHERE event_type <> 'error'",
     "quarantined_lines": """SELECT substr('{"event_id":' || event_id || ',"event_type":"error"', 1, 20) AS line FROM events WHERE event_type = 'error'""",
     "required_columns": "SELECT 'documents' AS file_source, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark",
-    "partitioned_out": "SELECT * FROM documents WHERE source = 'src3'",
+    "partitioned_out": "SELECT *, CASE WHEN source = 'src3' THEN TRUE END AS in_src3 FROM documents",
     "topic_slug": "SELECT doc_id, 'Run A-' || source AS topic, 'run_a_' || lower(source) AS topic_slug FROM documents",
     "stream_ingest": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
     "stream_dedup": "SELECT event_id, event_type FROM events",

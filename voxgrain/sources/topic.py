@@ -13,6 +13,9 @@ PRIORITY_SHARE_PCT = 15
 SMALLEST_QUOTA = 10
 TOP_UP_SCAN = 100
 
+# How far back a search looks, in hours; "all" has no bound.
+SEARCH_HOURS = {"hour": 1, "day": 24, "week": 7 * 24, "month": 30 * 24, "year": 365 * 24, "all": None}
+
 
 @dataclass(frozen=True)
 class Topic:
@@ -29,6 +32,11 @@ class Topic:
     language: str = "pt"
     priority: tuple[str, ...] = PRIORITY_COMMUNITIES
     language_tested: tuple[str, ...] = LANGUAGE_TESTED
+    time_filter: str = "month"
+
+    def __post_init__(self) -> None:
+        if self.time_filter not in SEARCH_HOURS:
+            raise ValueError(f"time_filter must be one of {', '.join(SEARCH_HOURS)}")
 
     @classmethod
     def from_mapping(cls, config: dict[str, Any]) -> "Topic":
@@ -40,6 +48,7 @@ class Topic:
             "communities": tuple(site.get("subreddits", ())),
             "methods": tuple(site.get("search_methods", ("hot", "top", "new"))),
             "limit": config.get("limits", {}).get("reddit", 200),
+            "time_filter": site.get("time_filter", "month"),
         }
         known = {f.name for f in fields(cls)}
         given.update({name: value for name, value in filters.items() if name in known})
@@ -53,6 +62,10 @@ class Topic:
         others = sum(1 for name in self.communities if name not in self.priority)
         return max(SMALLEST_QUOTA, (self.limit - len(self.priority) * share) // max(1, others))
 
+    def most_found(self) -> int:
+        """Rows that all searches together return at most."""
+        return len(self.methods) * len(self.keywords) * sum(self.per_search(name) for name in self.communities)
+
     def per_search(self, community: str) -> int:
         """Posts taken from one search, that is one method and keyword in one community."""
         return max(1, self.quota(community) // len(self.methods))

@@ -26,7 +26,10 @@ def ingest(
 
 
 def event_time(posts: DataFrame, timestamp: str, delay: str) -> DataFrame:
-    """Zoned event time with a watermark, which bounds all state downstream."""
+    """Zoned event time with a watermark, which bounds the state of what is appended downstream.
+
+    A complete result keeps all its groups whatever the watermark.
+    """
     return posts.withColumn(timestamp, F.col(timestamp).cast("timestamp")).withWatermark(timestamp, delay)
 
 
