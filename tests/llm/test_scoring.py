@@ -192,6 +192,7 @@ def test_mixing_edges(spark):
     rows = [(i, f"some words of document {i} here", "abc"[i % 3]) for i in range(60)]
     plan = {r["doc_id"]: r for r in mixing.balance(messy(spark, rows)).collect()}
     mixed = mixing.mix(messy(spark, rows))
+    assert all(r["n_chars"] == len(r["text"]) for r in mixed.where("text is not null").collect())
     words = Counter()
     for r in mixed.collect():
         words[r["doc_id"]] += len(r["text"].split())

@@ -158,9 +158,13 @@ def balance(
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+def mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: str | None = "n_chars", **settings
+) -> DataFrame:
     """``docs`` with every row repeated as often as it is taken; a part copy has the text's first words.
 
+    A part copy's ``length``, if there is such a column, is set anew.
+
     Rows alike in key, text and source are taken alike, each as often as the one taken most; so
     rows without a key are told apart by their text and source.
     """
@@ -174,4 +178,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = docs.join(plan, same).withColumn("_part", F.explode(parts))
     words = F.split(F.regexp_replace(text, f"^[{WHITE}]+", ""), f"[{WHITE}]+")
     first = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
-    return rows.withColumn(text, F.when(F.col("_part") < 0, F.col(text)).otherwise(first)).select(*docs.columns)
+    rows = rows.withColumn(text, F.when(F.col("_part") < 0, F.col(text)).otherwise(first))
+    if length in docs.columns:
+        rows = rows.withColumn(
+            length, F.when(F.col("_part") < 0, F.col(length)).otherwise(F.length(text)).cast(docs.schema[length].dataType)
+        )
+    return rows.select(*docs.columns)
