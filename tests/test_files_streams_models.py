@@ -122,4 +122,6 @@ def test_jobs_from_raw_posts_to_predictions(spark):
     matrix = jobs.predict(done, model, root, "3")
     assert {r["platform"]: r["total"] for r in matrix.collect()} == {"reddit": 30, "twitter": 30}
     assert spark.read.json(f"{root}/trained/report").first()["samples"] == 60
-    assert set(jobs.assess(done)) == {"missing", "verdict", "advice"}
+    report = jobs.assess(done)
+    assert {"missing", "repeats", "coverage", "verdict", "advice"} <= set(report)
+    assert {r["kind"] for r in report["repeats"].collect()} >= {"rows", "text"} and report["coverage"].count() >= 1

@@ -67,7 +67,7 @@ def metrics_files(spark, sf_dir):
     """Metrics written as a JSON record of the run, then read back from the results folder."""
     summary = me.score_summary(lq._judged(spark, sf_dir), "sentiment", "predicted")
     folder = fl.scratch_folder(spark, "results")
-    settings = {"max_features": "10000", "cv_folds": "5"}
+    settings = {"good_words": ",".join(ip.GOOD_WORDS), "bad_words": ",".join(ip.BAD_WORDS)}
     fl.write_posts(fl.run_metadata(spark, summary, settings, RUN_AT, "weak_labels"), fl.run_path(folder, "metrics", "1"), "json")
     return ip.rounded(fl.read_metrics(spark, folder).drop("file"))
 
@@ -103,8 +103,8 @@ def _embedded(spark, sf_dir):
     return df.select("vec_id", mo.as_vector("embedding").alias("features"), F.col("label").cast("double").alias("code"))
 
 
-def _network(df, steps=40):
-    return mo.fit_network(df, "features", "code", EMBEDDING_SIZE, EMBEDDING_CLASSES, max_iterations=steps)
+def _network(df):
+    return mo.fit_network(df, "features", "code", EMBEDDING_SIZE, EMBEDDING_CLASSES)
 
 
 def mlp_predict(spark, sf_dir):
@@ -128,13 +128,13 @@ def mlp_history(spark, sf_dir):
 
 
 def mlp_objective(spark, sf_dir):
-    return ip.rounded(mo.objective_history(spark, _network(_embedded(spark, sf_dir), 20)), 4)
+    return ip.rounded(mo.objective_history(spark, _network(_embedded(spark, sf_dir))), 4)
 
 
 def mlp_imported_weights(spark, sf_dir):
     """Exported weights give, in the batched forward pass, the network's own probabilities."""
     df = _embedded(spark, sf_dir)
-    model = _network(df, 10)
+    model = _network(df)
     scored = mo.network_probabilities(model, df).withColumn(
         "_again", sc.forward_pass(vector_to_array("features"), mo.network_layers(model), "sigmoid")
     )
@@ -149,7 +149,7 @@ def network_sentiment(spark, sf_dir):
     sentences = sc.sentence_vectors(df, "text", "id", vectors, WORD_VECTOR_SIZE)
     rows = df.select("id", la.label_code("sentiment").cast("double").alias("code")).join(sentences, "id")
     features = rows.select("id", "code", mo.as_vector("vector").alias("features"))
-    model = mo.fit_network(features, "features", "code", WORD_VECTOR_SIZE, max_iterations=30)
+    model = mo.fit_network(features, "features", "code", WORD_VECTOR_SIZE)
     scored = mo.with_probabilities(mo.network_probabilities(model, features), F.col("probabilities"))
     return ip.rounded(scored.drop("features", "probabilities", "code"), 4)
 
