@@ -65,6 +65,14 @@ def test_near_duplicate_edges(spark):
     assert rows_of(simhash_dedup.near_duplicates(no_rows(spark))) == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    other = "Another text that shares no words with what stands above it, at all."
+    rows = [(1, MESSY[0][1], "s1")] * 3 + [(2, MESSY[0][1], "s2"), (None, MESSY[0][1], "s1"), (1, other, "s1"), (None, other, "s1")]
+    rows += [(None, "no key here but words", "s3")] * 2
+    kept = simhash_dedup.keep_one(messy(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, MESSY[0][1]), (1, other), (None, "no key here but words")]))
+
+
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [(500, i) for i in range(3, 90)], [(1, 2), (None, 2), (5, 4)],
 ])

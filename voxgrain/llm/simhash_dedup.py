@@ -158,11 +158,15 @@ def near_duplicates(
     return prints.join(classes, prints["fp"] == classes["class"]).select(key, "fp", "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of its component.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates, **settings) -> DataFrame:
+    """One row of ``docs`` of each component, rows without a key included.
 
-    Rows of one key are one document and stay or go together; rows without a key stay.
+    It is the first by key (nulls last), text hash and the number the row was stored under; rows
+    alike in all of these but the number are one document. ``find`` gives (key, ..., component) for
+    keys that are unique. Rows are stored once, so that their numbers hold.
     """
-    kept = near_duplicates(docs, key, **settings).where(F.col(key) == F.col("component"))
-    kept = kept.select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key] == kept["_kept"], "left_semi").union(docs.where(F.col(key).isNull()))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = find(rows, "_row", text, **settings).select(F.col("_row").alias("_found"), "component")
+    places = rows.select("_row", F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(text), F.col("_row").alias("_kept")).alias("_place"))
+    first = found.join(places, found["_found"] == places["_row"]).groupBy(found["component"]).agg(F.min("_place").getField("_kept").alias("_kept"))
+    return rows.join(first.select("_kept"), rows["_row"] == F.col("_kept"), "left_semi").drop("_row")
