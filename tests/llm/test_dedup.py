@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tests.llm.inputs import MESSY, SMALL, joined, messy, no_rows, rows_of, texts_of
-from voxgrain.llm import common, cover_tree, fingerprints, queries, simhash_dedup
+from voxgrain.llm import common, cover_tree, fingerprints, queries, shingle_dedup, simhash_dedup
 
 
 def plain_simhash(text, width=4):
@@ -73,6 +74,34 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, MESSY[0][1]), (1, other), (None, "no key here but words")]))
 
 
+def plain_shingles(text, width=5):
+    words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return frozenset(" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def test_similar_texts_are_one_document(spark):
+    rng = np.random.default_rng(11)
+    texts = {}
+    for group in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 220)]
+        for step in range(9):  # copies of the first with up to 12 changed words, so at about 0.57 to 1
+            copy = list(words)
+            for place in rng.choice(220, [0, 1, 2, 4, 5, 6, 7, 9, 12][step], replace=False):
+                copy[place] = f"x{group}_{step}_{place}"
+            texts[len(texts)] = " ".join(copy)
+    texts |= {900: "", 901: " ", 902: "Two words", 903: "two  WORDS", 904: "two words more"}
+    sets = {k: plain_shingles(t) for k, t in texts.items()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    links = [(a, b) for a in texts for b in texts if a < b and like(sets[a], sets[b]) >= 0.8]
+    wanted = joined(links, texts)
+    assert any(0.8 <= like(sets[a], sets[b]) < 0.85 for a, b in links) and len(set(wanted.values())) > 12
+    df = messy(spark, [(k, t, "s1") for k, t in texts.items()])
+    found = {r["doc_id"]: r["component"] for r in shingle_dedup.near_duplicates(df).collect()}
+    assert found == wanted
+    kept = corpus_pipeline.distinct(spark, df, SMALL).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(wanted.values()))
+
+
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [(500, i) for i in range(3, 90)], [(1, 2), (None, 2), (5, 4)],
 ])
