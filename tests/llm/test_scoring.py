@@ -232,6 +232,16 @@ def test_url_rules_are_mined_and_applied(spark):
     assert rows_of(url_rules.judge(pages.where("false"), queries.URL_RULES)) == []
 
 
+def test_rules_count_every_blocked_row(spark):
+    rows = [(["a", "b"], "block" if i < 24 else "allow") for i in range(52)] + [(["c", f"d{i % 2}"], "allow") for i in range(940)]
+    rows += [(["c", "e"], "block")] * 8
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), support=0.05).collect()
+    for r in rules:
+        has = [v == r["verdict"] for t, v in rows if set(r["items"]) <= set(t)]
+        assert (r["confidence"], r["support"]) == (pytest.approx(sum(has) / len(has)), pytest.approx(len(has) / len(rows)))
+    assert ["c"] in [r["items"] for r in rules] and not any("a" in r["items"] or "b" in r["items"] for r in rules)
+
+
 def test_each_text_query_covers_all_rows(spark):
     n = len(texts_of(spark))
     for name in ("op2_simhash_dedup", "op3_licenses", "op4_pii", "op6_quality"):

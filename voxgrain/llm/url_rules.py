@@ -62,6 +62,17 @@ def tokens(host: str, path: str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(ending), named, kinds)))
 
 
+def held(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """Each row of ``sets`` (tokens, ...) with each of the ``rules`` (rule_id, items, ...) whose items it has all."""
+    listed = rules.select("rule_id", F.explode("items").alias("token"))
+    times = listed.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    rarest = listed.join(times, "token").groupBy("rule_id").agg(F.min(F.struct("times", "token")).getField("token").alias("token"))
+    index = stored(rarest.join(rules, "rule_id"), "rule-index")
+    size = index.select(F.sum(F.length(F.concat_ws(" ", "items")) + 100)).first()[0] or 0
+    looked = F.broadcast(index) if size <= RULE_BYTES else index
+    return sets.withColumn("token", F.explode("tokens")).join(looked, "token").where(F.size(F.array_except("items", "tokens")) == 0)
+
+
 def mine(
     labelled: DataFrame, support: float = 0.005, confidence: float = 0.6, blocked: str = "block"
 ) -> DataFrame:
@@ -78,21 +89,20 @@ def mine(
     if not total:
         return rows.select(F.lit(0).alias("rule_id"), F.col("tokens").alias("items"), F.lit("").alias("verdict"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
 
-    def frequent(df: DataFrame, least: float, name: str) -> DataFrame:
-        n = max(1, df.count())
-        share = min(1.0, least * total / n)
-        model = FPGrowth(itemsCol="tokens", minSupport=share, minConfidence=1.0).fit(df)
-        found = model.freqItemsets.where(F.size("items") <= MOST_TOKENS)
-        return found.select(F.array_sort("items").alias("items"), F.col("freq").alias(name))
-
-    every = frequent(rows, support, "n")
-    bad = frequent(rows.where("blocked = 1"), support / 2, "bad")
-    both = every.join(bad, "items", "left").withColumn("share", F.coalesce("bad", F.lit(0)) / F.col("n"))
+    model = FPGrowth(itemsCol="tokens", minSupport=min(1.0, support), minConfidence=1.0).fit(rows)
+    every = stored(
+        model.freqItemsets.where(F.size("items") <= MOST_TOKENS)
+        .select(F.xxhash64(F.array_sort("items")).alias("rule_id"), F.array_sort("items").alias("items"), F.col("freq").alias("n")), "frequent-items"
+    )
+    # Blocked rows are counted for every item set, however rare the verdict is.
+    sets = rows.where("blocked = 1").groupBy("tokens").agg(F.count(F.lit(1)).alias("times_blocked"))
+    bad = held(sets, every.select("rule_id", "items")).groupBy("rule_id").agg(F.sum("times_blocked").alias("bad"))
+    both = every.join(bad, "rule_id", "left").withColumn("share", F.coalesce("bad", F.lit(0)) / F.col("n"))
     verdict = F.when(F.col("share") >= 0.5, F.lit(blocked)).otherwise(F.lit("allow"))
     sure = F.greatest("share", 1 - F.col("share"))
     rules = stored(
-        both.select("items", verdict.alias("verdict"), sure.alias("confidence"), (F.col("n") / F.lit(total)).alias("support"))
-        .where(F.col("confidence") >= confidence).withColumn("rule_id", F.xxhash64("items")), "rules"
+        both.select("items", verdict.alias("verdict"), sure.alias("confidence"), (F.col("n") / F.lit(total)).alias("support"), "rule_id")
+        .where(F.col("confidence") >= confidence), "rules"
     )
     # A rule goes if dropping tokens gives a rule of the same verdict that is at least as sure.
     smaller = rules.select(F.col("items").alias("part"), F.col("verdict").alias("same"), F.col("confidence").alias("sure"))
@@ -111,15 +121,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     Token sets without a rule get ``default``.
     """
     sets = urls.select("tokens").distinct().withColumn("set_id", F.xxhash64("tokens"))
-    held = rules.select("rule_id", F.explode("items").alias("token"))
-    times = held.groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    rarest = held.join(times, "token").groupBy("rule_id").agg(F.min(F.struct("times", "token")).getField("token").alias("token"))
-    index = stored(rarest.join(rules, "rule_id"), "rule-index")
-    size = index.select(F.sum(F.length(F.concat_ws(" ", "items")) + 100)).first()[0] or 0
-    looked = F.broadcast(index) if size <= RULE_BYTES else index
-    hits = sets.select("set_id", "tokens", F.explode("tokens").alias("token")).join(looked, "token").where(
-        F.size(F.array_except("items", "tokens")) == 0
-    )
+    hits = held(sets, rules)
     best = hits.groupBy("set_id").agg(F.max(F.struct("confidence", F.size("items").alias("size"), "support", "items", "verdict")).alias("best"))
     return sets.join(best, "set_id", "left").select(
         "tokens", F.coalesce("best.verdict", F.lit(default)).alias("verdict"), F.col("best.items").alias("rule_items")
