@@ -106,6 +106,21 @@ def test_too_many_words_are_refused(spark):
         mo.train_word_vectors(df, "text", 4, 1, max_words=2)
 
 
+def test_no_number_of_words_is_refused(spark):
+    n = 210_000
+    many = spark.range(n // 100).selectExpr("concat_ws(' ', transform(sequence(id * 100, id * 100 + 99), x -> concat('w', x))) AS text")
+    vectors = mo.train_word_vectors(many.union(many), "text", 4, 1).persist()
+    assert vectors.count() == n == vectors.selectExpr("count(DISTINCT word)").first()[0]
+    assert vectors.where("size(vector) <> 4 OR exists(vector, x -> x IS NULL OR isnan(x))").count() == 0
+    vectors.unpersist()
+
+
+def test_few_buckets_still_tell_words_apart(spark):
+    df = spark.createDataFrame([("river river hills hills sun sun once",)], "text string")
+    vectors = {r["word"]: tuple(r["vector"]) for r in mo.train_word_vectors(df, "text", 8, 1, buckets=64).collect()}
+    assert set(vectors) == {"river", "hills", "sun"} and len(set(vectors.values())) == 3
+
+
 def test_jobs_from_raw_posts_to_predictions(spark):
     from voxgrain.plans import jobs
 
