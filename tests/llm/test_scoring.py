@@ -132,6 +132,15 @@ def test_quality_edges(spark):
     assert quality.keep_good(messy(spark), labels, threshold=0.0).count() == len(MESSY)
 
 
+def test_documents_without_usable_labels_stay(spark):
+    for labels in ([], [(1, 1)], [(6, 0)], [(77, 1), (78, 0)]):
+        given = spark.createDataFrame(labels, "doc_id long, quality int")
+        assert quality.keep_good(messy(spark), given).count() == len(MESSY), labels
+    small = [(i, f"text {i} with a few words, like the others" if i % 2 else f"{i} !!! {i} $$$") for i in range(2)]
+    docs = spark.createDataFrame(small, "doc_id long, text string")
+    assert len(quality.fit(quality.statistics_table(docs), spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, quality int")).steps)
+
+
 def test_isotonic():
     x = np.array([3.0, 1, 2, 2, 4, 5])
     y = np.array([0.0, 0, 1, 1, 1, 1])

@@ -116,8 +116,9 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     """Fit on the rows of ``stats`` that have a label of 0 or 1.
 
     At most about LABELLED rows are used, drawn by a hash of the key; every fourth of them, by
-    another hash, calibrates and the others fit. A key with several labels counts as several rows.
-    Without both labels every score is one half.
+    another hash, calibrates and the others fit; if one of the two parts lacks a label, all rows do
+    both. A key with several labels counts as several rows. Without both labels there are no
+    calibration steps and every score is one half.
     """
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("y"))
     share = min(1.0, LABELLED / max(1, known.count()))
@@ -129,6 +130,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     width = len(STATISTICS)
     moments = rows.agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"),
+        F.count_if(F.col("fold") == 0).alias("held"), F.sum(F.when(F.col("fold") == 0, F.col("y")).otherwise(0.0)).alias("held_ones"),
         *[f(F.get("stats", F.lit(i))).alias(f"{f.__name__}{i}") for f in (F.avg, F.stddev_pop) for i in range(width)],
     ).first()
     generator = np.random.default_rng(seed)
@@ -138,6 +140,8 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     )
     if not moments["n"] or moments["ones"] in (0, moments["n"]):
         return empty
+    both = 0 < moments["held_ones"] < moments["held"] and 0 < moments["ones"] - moments["held_ones"] < moments["n"] - moments["held"]
+    fitting, calibrating = (F.col("fold") > 0, F.col("fold") == 0) if both else (F.lit(True), F.lit(True))
     empty.mean = np.array([moments[f"avg{i}"] for i in range(width)])
     empty.scale = np.maximum([moments[f"stddev_pop{i}"] for i in range(width)], 1e-3)
 
@@ -149,7 +153,7 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
                 total += x.T @ np.column_stack([x, batch.column(1).to_numpy()])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    parts = rows.where("fold > 0").select("stats", "y").coalesce(SUMMING_TASKS).mapInArrow(sums, "sums binary").toLocalIterator()
+    parts = rows.where(fitting).select("stats", "y").coalesce(SUMMING_TASKS).mapInArrow(sums, "sums binary").toLocalIterator()
     total = sum(np.frombuffer(row["sums"]).reshape(FEATURES + 1, FEATURES + 2) for row in parts)
     penalty = RIDGE * moments["n"] / FEATURES * np.diag(np.r_[np.ones(FEATURES), 0])
     empty.weights = np.linalg.lstsq(total[:, :-1] + penalty, total[:, -1], rcond=None)[0]
@@ -160,9 +164,8 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
                 raw = empty.raw(np.array(batch.column(0).to_pylist()))
                 yield pa.RecordBatch.from_arrays([pa.array(raw), batch.column(1)], names=["raw", "y"])
 
-    held = rows.where("fold = 0").select("stats", "y").mapInArrow(scores, "raw double, y double").toArrow()
-    if held.num_rows:
-        empty.steps, empty.values = isotonic(held.column("raw").to_numpy(), held.column("y").to_numpy())
+    held = rows.where(calibrating).select("stats", "y").mapInArrow(scores, "raw double, y double").toArrow()
+    empty.steps, empty.values = isotonic(held.column("raw").to_numpy(), held.column("y").to_numpy())
     return empty
 
 
@@ -198,9 +201,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The rows of ``docs`` that are not rejected, scored in the same pass that reads them.
 
     Statistics are gathered once to fit; the filter then scores each row in place, so that no text
-    is shuffled. Null and empty texts are judged like any other.
+    is shuffled. Null and empty texts are judged like any other. Where the labels of these documents
+    are missing or all alike nothing can be judged, and all rows stay.
     """
     model = fit(stored(statistics_table(docs, key, text), "statistics"), labels, key)
+    if not len(model.steps):
+        return docs
     place = docs.columns.index(text)
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
