@@ -14,6 +14,7 @@ from voxgrain.llm import (
     packing,
     pii,
     quality,
+    secrets,
     simhash_dedup,
     token_files,
     url_rules,
@@ -87,10 +88,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in secrets.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "finds")
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_packing, op2_simhash_dedup, op3_licenses, op4_pii, op5_cover_tree, op6_quality, op7_fingerprints, op8_mixing,
-        op9_url_rules, op10_token_files,
+        op9_url_rules, op10_token_files, op12_secrets,
     )
 }
 
