@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxgrain.llm import (
     cover_tree,
     fingerprints,
+    hard_negatives,
     licenses,
     mixing,
     packing,
@@ -89,6 +90,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in secrets.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "finds")
@@ -105,8 +111,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_packing, op2_simhash_dedup, op3_licenses, op4_pii, op5_cover_tree, op6_quality, op7_fingerprints, op8_mixing,
-        op9_url_rules, op10_token_files, op12_secrets,
-        op13_prefix_trie,
+        op9_url_rules, op10_token_files, op11_hard_negatives,
+        op12_secrets, op13_prefix_trie,
     )
 }
 
