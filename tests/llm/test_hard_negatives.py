@@ -64,7 +64,7 @@ def test_negatives_in_clusters(spark, monkeypatch, pivots, anchors):
 
 def test_numbers_beyond_doubles(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, (rng.random(3) * 2.0**25).tolist(), i % 2) for i in range(40)]
+    rows = [(i, (rng.random(3) * 2.0**21).tolist(), i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
     found = rows_of(hard_negatives.mine(df, F.col("vec_id") % 3 == 0, F.col("label")))
     assert max(abs(r[4]) for r in found) > 1 << 53 and sorted(found) == sorted(plain(rows, lambda k: k % 3 == 0))
