@@ -79,15 +79,29 @@ def test_heads_and_conversations_without_turns(spark):
     rows = [(c, i, "user", f"{'a' if c < 150 else 'b'}{i}") for c in (0, 1, 2, 3, 100, 101, 203, 207, 305) for i in range(c % 5 + 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     turns = plain_turns(rows)
-    placed, convs = prefix_trie.placed_turns(df), df.select(F.col("conv_id").alias("conv")).distinct()
+    placed = prefix_trie.placed_turns(df)
+    convs = placed.where("place = 0").select("conv")
     for heads in range(6):
-        changed = prefix_trie.exchanged_heads(placed, convs, F.col("conv") - F.col("conv") % 100, F.lit(heads), most=5)
+        changed = prefix_trie.exchanged_heads(placed, F.col("conv") - F.col("conv") % 100, F.lit(heads), most=5)
         wanted = {c: turns.get(c - c % 100, [])[:heads] + own[heads:] for c, own in turns.items()}
         assert set(rows_of(prefix_trie.nodes(changed, convs))) == plain_trie(wanted)
     none = prefix_trie.nodes(placed.where("false"), convs)
     assert set(rows_of(none)) == plain_trie({c: [] for c in turns})
 
 
+def test_a_conversation_of_any_length(spark):
+    """Places of conversations that lie in many tasks, or begin and end amid one."""
+    rows = [(1, i, "user", "a") for i in range(7)] + [(2, i, "user", f"t{i}") for i in range(5000)] + [(c, i, "user", f"{c}") for c in (3, 4) for i in range(90)]
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = prefix_trie.placed_turns(spark.createDataFrame(rows, SCHEMA)).select("conv", "place").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(map(tuple, placed)) == [(c, i) for c, n in ((1, 7), (2, 5000), (3, 90), (4, 90)) for i in range(n)]
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert rows_of(prefix_trie.trie(empty)) == []

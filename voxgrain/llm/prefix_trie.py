@@ -20,7 +20,9 @@ import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +43,32 @@ TURNS = [f"t{i}" for i in range(WIDTH)]
 KEY = ["k1", "k2"]
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one task with their number within conversation and task."""
+    part = TaskContext.get().partitionId()
+    last, count = None, 0
+    for batch in batches:
+        conv = batch.column(0).to_numpy()
+        if not len(conv):
+            continue
+        starts = np.flatnonzero(np.r_[True, conv[1:] != conv[:-1]])
+        local = np.arange(len(conv)) - np.repeat(starts, np.diff(np.r_[starts, len(conv)]))
+        if conv[0] == last:
+            local[:starts[1] if len(starts) > 1 else len(conv)] += count
+        last, count = conv[-1], int(local[-1]) + 1
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(np.full(len(conv), part)), pa.array(local)], names=["conv", "id", "part", "local"]
+        )
+
+
 def placed_turns(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, place, id): every turn's identity and its place in its conversation, from 0.
 
     Turns come by number, null first; those of one number by role and the digest of their text.
     Null roles and texts are empty. Rows without a conversation number are left out. The rows are
-    sorted as a whole and numbered from the totals of tasks, so a conversation may have any length.
+    sorted as a whole and numbered task by task, so a conversation may have any length: only the first
+    conversation of a task can have begun in tasks before it, and the driver adds up what these hold,
+    one row per task.
     """
     role_of, text_of = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     digest = F.md5(F.concat(F.length(role_of).cast("string"), F.lit(":"), role_of, text_of))
@@ -54,28 +76,40 @@ def placed_turns(conversations: DataFrame, key: str = "conv_id", turn: str = "tu
         F.col(key).cast("long").alias("conv"), F.col(turn).alias("turn"), role_of.alias("role"),
         F.concat(digest, F.length(text_of).cast("string")).alias("id"),
     )
-    ordered = stored(
-        narrow.orderBy("conv", F.asc_nulls_first("turn"), "role", "id").select("conv", "id", F.monotonically_increasing_id().alias("at")), "turns"
-    ).withColumn("part", F.shiftright("at", 33))
-    # A conversation has a row here for each task it lies in.
-    spans = ordered.groupBy("conv", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = W.Window.partitionBy("conv").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
-    bases = spans.select("conv", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("base"))
-    return ordered.join(bases, ["conv", "part"]).select("conv", (F.col("at") + F.col("base")).alias("place"), "id")
+    ordered = narrow.orderBy("conv", F.asc_nulls_first("turn"), "role", "id").select("conv", "id")
+    rows = stored(ordered.mapInArrow(_numbered, "conv long, id string, part long, local long"), "turns")
+    ends = rows.groupBy("part").agg(F.min("conv").alias("first"), F.max(F.struct("conv", "local")).alias("last")).orderBy("part").collect()
+    bases, open_conv, before = [], None, 0
+    for r in ends:
+        carried = before if r["first"] == open_conv else 0
+        if carried:
+            bases.append((r["part"], r["first"], carried))
+        whole = r["first"] == r["last"]["conv"]
+        open_conv, before = r["last"]["conv"], r["last"]["local"] + 1 + (carried if whole else 0)
+    base = conversations.sparkSession.createDataFrame(bases, "part long, first long, base long")
+    return rows.join(F.broadcast(base), "part", "left").select(
+        "conv", (F.col("local") + F.when(F.col("conv") == F.col("first"), F.col("base")).otherwise(0)).alias("place"), "id"
+    )
 
 
-def exchanged_heads(placed: DataFrame, convs: DataFrame, donor: Column, heads: Column, most: int) -> DataFrame:
+def exchanged_heads(placed: DataFrame, donor: Column, heads: Column, most: int) -> DataFrame:
     """``placed`` with the first ``heads`` turns of each conversation replaced by those of another.
 
-    ``donor`` and ``heads`` (at most ``most``) are expressions over the column ``conv`` of ``convs``.
-    A donor with fewer turns gives all, one that does not exist gives none; what follows moves up.
+    ``donor`` and ``heads`` (at most ``most``) are expressions over the column ``conv``. A donor with
+    fewer turns gives all, one that does not exist gives none; what follows moves up.
     """
-    asked = convs.select("conv", donor.alias("donor"), heads.alias("heads")).where("heads > 0")
-    given = placed.where(F.col("place") < most).select(F.col("conv").alias("donor"), "place", "id")
-    taken = given.join(asked, "donor").where("place < heads").select("conv", "place", "id")
-    sizes = taken.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
-    own = placed.withColumn("heads", heads).where("place >= heads")
-    kept = own.join(sizes, "conv", "left").select("conv", (F.col("place") - F.col("heads") + F.coalesce("n", F.lit(0))).alias("place"), "id")
+    given = placed.where(F.col("place") < most).groupBy(F.col("conv").alias("donor")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda t: t["id"]).alias("given")
+    )
+    # Every conversation has a turn at place 0.
+    asked = placed.where("place = 0").select("conv", donor.alias("donor"), heads.alias("heads"))
+    changes = asked.join(given, "donor", "left").select(
+        "conv", F.coalesce(F.slice("given", F.lit(1), F.col("heads").cast("int")), F.array().cast("array<string>")).alias("taken")
+    )
+    changes = stored(changes, "heads")
+    taken = changes.select("conv", F.posexplode("taken").alias("place", "id")).select("conv", F.col("place").cast("long").alias("place"), "id")
+    own = placed.where(F.col("place") >= heads)
+    kept = own.join(changes, "conv").select("conv", (F.col("place") - heads + F.size("taken")).alias("place"), "id")
     return kept.union(taken)
 
 
@@ -101,22 +135,23 @@ def blocks(placed: DataFrame) -> DataFrame:
     ``k1`` and ``k2`` are the key of the node the row starts from and ``before`` the characters on
     the way to it; ``own1``, ``own2``, ``chars`` and ``size`` are of the row itself.
     """
-    rows = placed.groupBy("conv", F.expr(f"place div {WIDTH}").alias("block")).agg(
+    turns = placed.select("conv", F.expr(f"place div {WIDTH * CHUNK}").alias("chunk"), "place", "id").repartition("conv", "chunk")
+    rows = turns.groupBy("conv", "chunk", F.expr(f"place div {WIDTH}").alias("block")).agg(
         *[F.max(F.when(F.col("place") % WIDTH == i, F.col("id"))).alias(t) for i, t in enumerate(TURNS)]
     )
     parts = [_hashes(F.col("block"), i) for i in range(WIDTH)]
     rows = rows.select(
-        "conv", "block", F.expr(f"block div {CHUNK}").alias("chunk"), _folded([p[0] for p in parts]).alias("own1"), _folded([p[1] for p in parts]).alias("own2"),
+        "conv", "chunk", "block", _folded([p[0] for p in parts]).alias("own1"), _folded([p[1] for p in parts]).alias("own2"),
         sum((_length(F.col(t)) for t in TURNS), F.lit(0).cast("long")).alias("chars"),
         sum((F.col(t).isNotNull().cast("long") for t in TURNS), F.lit(0).cast("long")).alias("size"), *TURNS,
     )
-    rows = stored(rows, "blocks")
     zero = F.lit(0).cast("long")
     totals = {"own1": F.bit_xor, "own2": F.bit_xor, "chars": F.sum}
-    earlier = lambda *by: W.Window.partitionBy(*by).orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
-    chunks = rows.where(F.col("size") > 0).groupBy("conv", F.col("chunk").alias("block")).agg(*[f(c).alias(c) for c, f in totals.items()])
-    bases = chunks.select("conv", F.col("block").alias("chunk"), *[F.coalesce(f(c).over(earlier("conv")), zero).alias(f"base_{c}") for c, f in totals.items()])
-    within = [F.coalesce(f(c).over(earlier("conv", "chunk")), zero).alias(f"in_{c}") for c, f in totals.items()]
+    chunks = rows.groupBy("conv", "chunk").agg(*[f(c).alias(c) for c, f in totals.items()])
+    before = W.Window.partitionBy("conv").orderBy("chunk").rowsBetween(W.Window.unboundedPreceding, -1)
+    bases = chunks.select("conv", "chunk", *[F.coalesce(f(c).over(before), zero).alias(f"base_{c}") for c, f in totals.items()])
+    before = W.Window.partitionBy("conv", "chunk").orderBy("block").rowsBetween(W.Window.unboundedPreceding, -1)
+    within = [F.coalesce(f(c).over(before), zero).alias(f"in_{c}") for c, f in totals.items()]
     joined = rows.select("*", *within).join(bases, ["conv", "chunk"])
     return joined.select(
         "conv", "block", F.col("base_own1").bitwiseXOR(F.col("in_own1")).alias("k1"), F.col("base_own2").bitwiseXOR(F.col("in_own2")).alias("k2"),
@@ -190,51 +225,45 @@ def _digests(ends: DataFrame) -> DataFrame:
 def nodes(placed: DataFrame, convs: DataFrame) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node.
 
-    ``placed`` has the turns (conv, place, id) and ``convs`` the numbers of all conversations, those
-    without turns too. No conversations give no nodes.
+    ``placed`` has the turns (conv, place, id) and ``convs`` the numbers of all conversations, each
+    once, those without turns too. No conversations give no nodes.
     """
     rows = stored(blocks(placed), "rows")
     start = ["block", "k1", "k2", "before", *TURNS]
     zero = F.lit(0).cast("long")
     distinct = rows.groupBy(*start).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n"))
     found = stored(_rolled(distinct, conv="min(conv)", n="sum(n)"), "nodes")
-    children = found.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent1").alias("node1"), F.col("parent2").alias("node2")).agg(
-        F.count(F.lit(1)).alias("children")
-    )
-    children = stored(children, "children")
+    # One row per node with its smallest member and its children; the root is only its children's parent.
     known = ["depth", "node1", "node2"]
-    counted = found.join(children, known, "left").select(*found.columns, F.coalesce("children", zero).alias("children"))
-    # What a conversation owns: the characters of its nodes, and its last node if that has no children.
-    owned = counted.groupBy("conv").agg(F.sum("chars").alias("owned"), F.sum((F.col("children") == 0).cast("long")).alias("leaf"))
-    whole = rows.groupBy("conv").agg(
-        F.sum("size").alias("depth"), F.bit_xor("own1").alias("node1"), F.bit_xor("own2").alias("node2"), F.sum("chars").alias("total")
-    )
-    members = convs.select("conv").distinct().join(whole, "conv", "left").join(owned, "conv", "left").select(
-        "conv", *[F.coalesce(c, zero).alias(c) for c in ("depth", "node1", "node2", "total", "owned", "leaf")]
-    )
-    members = stored(members, "members")
-    own = F.struct("conv", "owned", "total")
-    sums = [F.sum(c).alias(c) for c in ("total", "owned", "leaf")]
-    weighed = rows.select("conv", *start).join(members.select("conv", "total", "owned", "leaf"), "conv")
-    below = weighed.groupBy(*start).agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("n"), *sums)
-    every = _rolled(below, own="min(own)", n="sum(n)", total="sum(total)", owned="sum(owned)", leaf="sum(leaf)")
+    parent = [(F.col("depth") - 1).alias("depth"), F.col("parent1").alias("node1"), F.col("parent2").alias("node2")]
+    each = found.select(*known, "conv", "chars", zero.alias("child"))
+    each = each.union(found.select(*parent, F.lit(None).cast("long"), zero, F.lit(1).cast("long")))
+    tree = stored(each.groupBy(*known).agg(F.max("conv").alias("conv"), F.max("chars").alias("chars"), F.sum("child").alias("n_children")), "tree")
+    # Per conversation: its end, its characters, those of the nodes it owns, and whether it owns a leaf.
+    sums, own = ["depth", "total", "owned", "leaf"], F.struct("conv", "owned", "total")
+    parts = convs.select("conv", *[zero.alias(c) for c in ("depth", "node1", "node2", "total", "owned", "leaf")])
+    parts = parts.union(rows.select("conv", "size", "own1", "own2", "chars", zero, zero))
+    owned = tree.where("conv IS NOT NULL")
+    parts = parts.union(owned.select("conv", zero, zero, zero, zero, "chars", (F.col("n_children") == 0).cast("long")))
+    members = stored(parts.groupBy("conv").agg(*[F.sum(c).alias(c) for c in sums], *[F.bit_xor(k).alias(k) for k in known[1:]]), "members")
+    weighed = rows.select("conv", *start).join(members.select("conv", *sums[1:]), "conv")
+    below = weighed.groupBy(*start).agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums[1:]])
+    every = _rolled(below, own="min(own)", n="sum(n)", **{c: f"sum({c})" for c in sums[1:]})
     # The root has no columns to be grouped by.
-    root = members.agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("n"), *sums).where("n > 0")
-    empty = [c for c in every.columns if c not in root.columns]
-    every = every.unionByName(root.select(*[zero.alias(c) for c in empty], "*"))
+    root = members.agg(F.min(own).alias("own"), F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums[1:]]).where("n > 0")
+    every = every.unionByName(root.select(*[zero.alias(c) for c in every.columns if c not in root.columns], "*"))
     # All members' texts from here on, less those of the nodes below, each counted once.
     again = F.col("total") - F.col("n") * F.col("path")
     once = F.col("owned") - F.col("own.owned") + F.col("own.total") - F.col("path")
-    parents = found.select(F.col("depth").alias("up"), F.col("node1").alias("up1"), F.col("node2").alias("up2"), F.col("conv").alias("parent_conv_id"))
-    parents = parents.unionByName(root.select(*[zero.alias(c) for c in ("up", "up1", "up2")], F.col("own.conv").alias("parent_conv_id")))
+    above = tree.select(F.col("depth").alias("up"), F.col("node1").alias("parent1"), F.col("node2").alias("parent2"), F.col("conv").alias("parent"))
     ends = _digests(members.select("conv", *known))
-    joined = every.join(children, known, "left").join(ends, known, "left").join(
-        parents, (F.col("depth") - 1 == F.col("up")) & (F.col("parent1") == F.col("up1")) & (F.col("parent2") == F.col("up2")), "left"
-    )
-    # A conversation of empty turns only shares no key with the root, as every turn has a hash.
+    joined = every.withColumn("up", F.col("depth") - 1).join(above, ["up", "parent1", "parent2"], "left")
+    joined = joined.join(tree.select(*known, "n_children"), known, "left").join(ends, known, "left")
+    smallest = root.select("own.conv").scalar()
+    children = F.coalesce("n_children", zero)
     return joined.select(
-        F.col("own.conv").alias("conv_id"), "depth", "parent_conv_id", F.col("n").alias("n_convs"), F.coalesce("children", zero).alias("n_children"),
-        F.when(F.coalesce("children", zero) == 0, F.lit(1).cast("long")).otherwise(F.col("leaf")).alias("n_leaves"),
+        F.col("own.conv").alias("conv_id"), "depth", F.when(F.col("up") == 0, smallest).otherwise(F.col("parent")).alias("parent_conv_id"),
+        F.col("n").alias("n_convs"), children.alias("n_children"), F.when(children == 0, F.lit(1).cast("long")).otherwise(F.col("leaf")).alias("n_leaves"),
         (again - once).alias("saved_tokens"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
     )
 
@@ -247,5 +276,5 @@ def trie(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", rol
     Other columns are not read, whatever their names. Very long texts are read once, for their
     digest. Empty tables have no nodes.
     """
-    convs = conversations.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("conv")).distinct()
-    return nodes(placed_turns(conversations, key, turn, role, text), convs)
+    placed = placed_turns(conversations, key, turn, role, text)
+    return nodes(placed, placed.where("place = 0").select("conv"))

@@ -101,11 +101,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    convs = conversations.select(F.col("conv_id").alias("conv")).where("conv is not null").distinct()
-    placed = prefix_trie.placed_turns(conversations)
-    rebuilt = prefix_trie.exchanged_heads(placed, convs, F.col("conv") - F.col("conv") % 100, F.crc32(F.col("conv").cast("string")) % 6, most=5)
-    return prefix_trie.nodes(rebuilt, convs)
+    placed = prefix_trie.placed_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    rebuilt = prefix_trie.exchanged_heads(placed, conv - conv % 100, F.crc32(conv.cast("string")) % 6, most=5)
+    return prefix_trie.nodes(rebuilt, placed.where("place = 0").select("conv"))
 
 
 QUERIES = {
