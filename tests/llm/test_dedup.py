@@ -153,7 +153,8 @@ def plain_vectors(rows, threshold=0.93):
     for key, v, label in rows:
         ok = key is not None and label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
         if ok:
-            units[key] = (label, np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)))
+            scaled = np.array(v, np.float64) / np.abs(v).max()
+            units[key] = (label, scaled / np.linalg.norm(scaled))
     near = [(a, b) for a in units for b in units if a < b and units[a][0] == units[b][0] and units[a][1] @ units[b][1] >= threshold]
     component = joined(near, units)
     count = {k: sum(k in p for p in near) for k in units}
@@ -181,3 +182,15 @@ def test_vector_edges(spark, monkeypatch, block):
     found = {r["vec_id"]: (r["n_links"], r["component"]) for r in cover_tree.near_vectors(df).collect()}
     assert found == plain_vectors(rows)
     assert rows_of(cover_tree.near_vectors(df.where("false"))) == []
+
+
+def test_vectors_of_any_magnitude(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for size in (1.0, 1e200, 1e-200, 1e307, 3e-310, 5e-324):
+        for centre in rng.integers(-9, 10, (3, 2)):
+            rows += [(len(rows) + i, ((centre + 0.5 + rng.integers(0, 2, 2)) * size).tolist(), 1) for i in range(4)]
+    rows += [(len(rows), [1e-300, 1e300], 1), (len(rows) + 1, [0.0, 1e-3], 1), (len(rows) + 2, [1e200, 2e200], 2), (len(rows) + 3, [1.01e200, 2e200], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component"]) for r in cover_tree.near_vectors(df).collect()}
+    assert found == plain_vectors(rows) and found[len(rows) - 1] == (1, len(rows) - 2)

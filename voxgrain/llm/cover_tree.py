@@ -54,7 +54,9 @@ class Node:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Rows of length one. The largest number of a row is made one first, so that no square is too large or too small."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def grow(label: object, points: np.ndarray, nodes: list[Node]) -> int:
@@ -68,6 +70,7 @@ def grow(label: object, points: np.ndarray, nodes: list[Node]) -> int:
             while len(rest):
                 head = rest[0]
                 near = np.linalg.norm(points[rest] - points[head], axis=1) <= RADII[level]
+                near[0] = True  # the head is always its own
                 nodes[number].children.append(add(rest[near], points[head], level + 1))
                 rest = rest[~near]
         return number
