@@ -12,13 +12,14 @@ from voxgrain.operators import metrics as me
 from voxgrain.operators import models as mo
 from voxgrain.operators import network as nw
 from voxgrain.operators import scoring as sc
+from voxgrain.operators import skipgram as sg
 from voxgrain.plans import inputs as ip
+from voxgrain.plans import jobs
 from voxgrain.plans import label_queries as lq
 from voxgrain.plans import sql
 from voxgrain.sources import files as fl
 
 EMBEDDING_SIZE, EMBEDDING_CLASSES = 64, 10
-WORD_VECTOR_SIZE, WORD_VECTOR_EPOCHS = 32, 2
 FULL_SIZES = (EMBEDDING_SIZE, *mo.HIDDEN_LAYERS, EMBEDDING_CLASSES)
 NET_SIZES, NET_HELD, NET_EPOCHS, NET_RATE, NET_PATIENCE = (4, 5, 4, 3), 5, 40, 0.05, 6
 RUN_AT = "2024-01-31T00:00:00"
@@ -74,11 +75,17 @@ def metrics_files(spark, sf_dir):
     return ip.rounded(fl.read_metrics(spark, folder).drop("file"))
 
 
+def word_pairs(spark, sf_dir):
+    """Per word: other words near it, and their weight."""
+    df = ip.documents(spark, sf_dir).select(tx.clean_text("text").alias("text"))
+    return ip.rounded(sg.word_pairs(df, "text").groupBy("word").agg(F.count(F.lit(1)).alias("contexts"), F.sum("weight").alias("weight")), 4)
+
+
 def word_vectors(spark, sf_dir):
-    """Length of each trained word vector."""
+    """Length of each trained word vector, and whether all its numbers are finite."""
     df = ip.documents(spark, sf_dir).select(tx.clean_text("text").alias("text"))
-    vectors = mo.train_word_vectors(df, "text", WORD_VECTOR_SIZE, WORD_VECTOR_EPOCHS)
-    return vectors.select("word", F.size("vector").alias("size"))
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
+    return sg.train_vectors(df, "text").select("word", F.size("vector").alias("size"), finite.alias("finite"))
 
 
 def _word_texts(spark, sf_dir):
@@ -177,20 +184,16 @@ def mlp_imported_weights(spark, sf_dir):
 def network_sentiment(spark, sf_dir):
     """Texts to word vectors to sentence vectors to a network: the five prediction columns."""
     df = ip.labelled_documents(spark, sf_dir)
-    vectors = mo.train_word_vectors(df, "text", WORD_VECTOR_SIZE, WORD_VECTOR_EPOCHS)
-    sentences = sc.sentence_vectors(df, "text", "id", vectors, WORD_VECTOR_SIZE)
-    rows = df.select("id", la.label_code("sentiment").cast("double").alias("code")).join(sentences, "id")
-    features = rows.select("id", "code", mo.as_vector("vector").alias("features"))
-    model = mo.fit_network(features, "features", "code", WORD_VECTOR_SIZE)
-    scored = mo.with_probabilities(mo.network_probabilities(model, features), F.col("probabilities"))
-    return ip.rounded(scored.drop("features", "probabilities", "code"), 4)
+    folder = fl.scratch_folder(spark, "network")
+    jobs.train_network(df, folder, "text", batches=1)
+    return ip.rounded(jobs.network_scores(df.select("id", "text"), folder, "text").drop("text"), 4)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         ovr_logreg_predict, ovr_cv_scores, top_features, model_roundtrip,
-        training_report, metrics_files, word_vectors, sentence_vectors, mlp_predict, mlp_history, mlp_objective,
+        training_report, metrics_files, word_pairs, word_vectors, sentence_vectors, mlp_predict, mlp_history, mlp_objective,
         mlp_imported_weights, network_training, network_dropout, network_sentiment,
     )
 }
@@ -343,6 +346,8 @@ def _passed(sizes):
     return sql.with_named(f"SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS predicted, round(list_max(p), 6) AS confidence FROM ({query})", **named)
 
 
+_LINES = f"SELECT list_filter(string_split({sql.cleaned('text')}, ' '), lambda q: q <> '') AS w FROM documents"
+
 SQL = {
     "network_training": f"""WITH RECURSIVE data AS MATERIALIZED ({_VECTORS}), fit AS ({_training(NET_SIZES)})
         SELECT epoch, round(train_loss, 6) AS train_loss, round(train_accuracy, 6) AS train_accuracy, round(val_loss, 6) AS val_loss,
@@ -383,6 +388,10 @@ SQL = {
             FROM t JOIN u ON u.word = t.word) GROUP BY vec_id, place)
         SELECT vec_id, CAST(count(*) AS INTEGER) AS size, round(sum(x), 2) AS total, round(sum(x * x), 2) AS square FROM d GROUP BY vec_id""",
     "mlp_imported_weights": _passed(FULL_SIZES),
-    "word_vectors": f"""SELECT word, {WORD_VECTOR_SIZE} AS size FROM (
-        SELECT unnest(string_split({sql.cleaned('text')}, ' ')) AS word FROM documents) GROUP BY word HAVING count(*) >= {mo.VECTOR_MIN_COUNT}""",
+    "word_pairs": sql.with_named(
+        f"SELECT a AS word, count(*) AS contexts, round(sum(steps) / {sg.WINDOW}.0::DOUBLE, 4) AS weight FROM pairs GROUP BY a",
+        lines=_LINES, near=" UNION ALL ".join(f"SELECT w[i] AS a, w[i + {d}] AS b, {sg.WINDOW - d + 1} AS steps FROM (SELECT w, unnest(range(1, len(w) - {d} + 1)) AS i FROM lines WHERE len(w) > {d})" for d in range(1, sg.WINDOW + 1)),
+        pairs="SELECT a, b, sum(steps) AS steps FROM (SELECT a, b, steps FROM near UNION ALL SELECT b, a, steps FROM near) GROUP BY a, b",
+    ),
+    "word_vectors": f"""SELECT word, {sg.SIZE} AS size, TRUE AS finite FROM (SELECT unnest(w) AS word FROM ({_LINES})) GROUP BY word HAVING count(*) >= {sg.MIN_COUNT}""",
 }
