@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxgrain.functions.text import slug
+from voxgrain.sources import csv_split
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 CORRUPT = "_corrupt"
@@ -43,16 +44,19 @@ def read_posts(
 ) -> DataFrame:
     """Read csv, json (one object per line) or parquet files.
 
-    ``pattern`` is a glob on file names. CSV files are read whole, one task per file, because
-    texts hold line breaks; ``multi_line`` off splits them. Without a schema, CSV files are
-    read by their own headers and united by name; a column missing from a file is null there.
-    ``with_source`` adds the file's stem as ``file_source``.
+    ``pattern`` is a glob on file names. Texts of CSV files may hold line breaks; large files are
+    read by many tasks nevertheless (``csv_split``), after a pass that counts quotes.
+    ``multi_line`` off takes each line for a row. Without a schema, CSV files are read by their
+    own headers and united by name; a column missing from a file is null there. ``with_source``
+    adds the file's stem as ``file_source``.
     """
     if fmt == "csv" and schema is None:
         groups = _by_header(spark, path, pattern, recursive)
-        if len(groups) > 1:
+        if len(groups) > 1 or (groups and multi_line):
             parts = [read_posts(spark, paths, fmt, T.StructType([T.StructField(c, T.StringType()) for c in header]), None, False, with_source, multi_line) for header, paths in groups.items()]
             return combine(parts)
+    if fmt == "csv" and multi_line:
+        return csv_split.read_csv(spark, path, schema, CSV_READ, pattern, recursive, "file_source" if with_source else None)
     reader = spark.read.option("recursiveFileLookup", recursive)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
