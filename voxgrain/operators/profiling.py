@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from voxgrain.functions import text as tx
 from voxgrain.functions.sampling import DEFAULT_SEED, draw
 from voxgrain.functions.stats import count_where, percent
-from voxgrain.operators.ranking import bounded_quantiles, exact_quantiles
+from voxgrain.operators.profiles import exact_quantiles, profile
+from voxgrain.operators.ranking import bounded_quantiles
+from voxgrain.sources.files import materialize
 
 # Name parts that mark text and date columns, platform column names in
 # order of preference, and the thresholds of the length report.
@@ -278,16 +280,10 @@ def example_rows(df: DataFrame, text: str, key: str, rows: int = 3, chars: int =
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, mean, median, min, max) of numeric columns with any value domain."""
-    basic = df.agg(
-        *[f(c).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
-    )
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"), F.col(f"mean_{c}").alias("mean"),
-            exact_quantiles(df, c, [0.5]).select("q50").scalar().alias("median"),
-            F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max"),
-        )
-        for c in columns
-    ]
-    return basic.select(F.inline(F.array(*entries)))
+    """(column_name, mean, median, min, max) of numeric columns with any value domain.
+
+    One pass profiles all columns and one finds all medians, however many columns there are.
+    """
+    found = materialize(profile(df, columns))
+    exact = exact_quantiles(df, found, [0.5])
+    return found.join(exact, "column_name").select("column_name", "mean", F.col("q50").alias("median"), F.col("low").alias("min"), F.col("high").alias("max"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxgrain.functions import text as tx
+from voxgrain.operators import profiles as pf
 from voxgrain.operators import profiling as pr
 from voxgrain.operators import quality as qu
 from voxgrain.plans import inputs as ip
 from voxgrain.plans import sql
+from voxgrain.sources import files as fl
 
 LENGTH_WIDTH, SCORE_WIDTH = 500, 25
 
@@ -108,6 +110,31 @@ def engagement(spark, sf_dir):
     return ip.rounded(pr.column_stats(ip.posts(spark, sf_dir), ["score", "num_comments"]))
 
 
+def _one_of(row, columns):
+    """The value of the one-row table's column that column_name names."""
+    found = F.lit(None)
+    for c in columns:
+        found = F.when(F.col("column_name") == c, row.select(c).scalar()).otherwise(found)
+    return found
+
+
+def merged_profiles(spark, sf_dir):
+    """Profiles of each day's events, written as runs and merged: their figures, exact quartiles, and whether the sketches are near the truth."""
+    events = ip.table(spark, sf_dir, "events").select("event_type", F.col("value").alias("amount"), F.col("user_id").alias("member"), F.dayofweek("ts").alias("run"))
+    columns = ["amount", "member"]
+    path = fl.scratch_folder(spark, "profiles")
+    pf.profile(events, columns, ["run"]).write.partitionBy("run").parquet(path)
+    found = fl.materialize(pf.merged(spark.read.parquet(path).drop("run")))
+    exact = pf.exact_quantiles(events, found, (0.25, 0.5, 0.75))
+    truth = events.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    about = pf.figures(found, (0.5,)).join(exact, "column_name")
+    return ip.rounded(about.select(
+        "column_name", "n", "nulls", "mean", "std", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), "q25", "q50", "q75",
+        (F.abs(F.col("about_distinct") - _one_of(truth, columns)) <= 0.05 * _one_of(truth, columns)).alias("distinct_near"),
+        ((F.col("about_q50") >= F.col("q25")) & (F.col("about_q50") <= F.col("q75"))).alias("median_near"),
+    ))
+
+
 def top_communities(spark, sf_dir):
     return pr.share_by(ip.table(spark, sf_dir, "documents"), "source", 10)
 
@@ -178,7 +205,7 @@ QUERIES = {
     for f in (
         describe_length, hist_length, hist_cleaned_length, box_by_platform, term_top100, term_top_without_stop_words,
         posts_per_day, temporal_summary, platform_length, platform_posts, iqr_outliers, short_long, length_examples,
-        eda_summary, missing_values, duplicate_counts, date_span, day_extremes, coverage, engagement, top_communities,
+        eda_summary, missing_values, duplicate_counts, date_span, day_extremes, coverage, engagement, merged_profiles, top_communities,
         distinct_communities, method_keyword_share, quality_scores, quality_verdict, recommendations,
         length_score_bins, length_score_corr, example_rows, detect_columns, detect_columns_by_length, preview,
         column_overview,
@@ -293,6 +320,18 @@ SQL = {
             for c in ("score", "num_comments")
         )
     ),
+    "merged_profiles": " UNION ALL ".join(
+        f"""SELECT '{name}' AS column_name, count({c}) AS n, count(*) - count({c}) AS nulls, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+        round(min({c})::DOUBLE, 6) AS low, round(max({c})::DOUBLE, 6) AS high, """
+        + ", ".join(f"round(quantile_cont({c}, {q / 100})::DOUBLE, 6) AS q{q}" for q in (25, 50, 75)) + ", TRUE AS distinct_near, TRUE AS median_near FROM events"
+        for name, c in (("amount", "value"), ("member", "user_id"))
+    ),
+    "detect_columns": """SELECT role, column_name, CAST(place AS INTEGER) AS place FROM (VALUES ('text', 'text', 0), ('text', 'title', 1), ('text', 'selftext', 2),
+        ('date', 'timestamp', 0), ('platform', 'platform', 0)) AS v(role, column_name, place)""",
+    "detect_columns_by_length": """SELECT 'text' AS role, name AS column_name, CAST(place AS INTEGER) AS place FROM (
+          SELECT 'a' AS name, 0 AS place, avg(length(text)) AS mean FROM documents UNION ALL SELECT 'b', 1, avg(length(lang)) FROM documents
+          UNION ALL SELECT 'source', 2, avg(length(source)) FROM documents) WHERE mean > 20
+        UNION ALL SELECT 'platform', 'source', 0""",
     "top_communities": f"""SELECT source, n, {sql.percent('n', '(SELECT count(*) FROM documents)')} AS pct
         FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 10)""",
     "distinct_communities": "SELECT count(DISTINCT source) AS communities FROM documents",
