@@ -1,4 +1,10 @@
-"""Lexicon lemmatiser: replace each word form by its lemma."""
+"""Lexicon lemmatiser: replace each word form by its lemma; forms it lacks by rules learned from it.
+
+A rule says what to cut off and what to put in its place, after an ending. Every form of the lexicon
+speaks for its own change after each of its endings, from the part that changes on; the change that
+most forms with an ending have is the ending's rule. A form that is not in the lexicon follows the rule
+of its longest known ending.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +21,52 @@ Lexicon = Union[Mapping[str, str], DataFrame]
 LITERAL_ENTRIES = 200
 
 
+LONGEST_ENDING = 6
+MIN_FORMS = 2
+MIN_STEM = 2
+
+
+def _changes(lexicon: DataFrame) -> DataFrame:
+    """(form, cut, put): letters to cut off a form's end, and what to put there, for its lemma."""
+    shortest = F.least(F.length("form"), F.length("lemma"))
+    lengths = F.when(shortest > 0, F.sequence(F.lit(1), shortest)).otherwise(F.array().cast("array<int>"))
+    same = F.aggregate(lengths, F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring("form", i, F.lit(1)) == F.substring("lemma", i, F.lit(1))), i).otherwise(n))
+    told = lexicon.groupBy("form").agg(F.min("lemma").alias("lemma")).withColumn("_same", same)
+    return told.select("form", (F.length("form") - F.col("_same")).alias("cut"), F.expr("substring(lemma, _same + 1)").alias("put"))
+
+
+def ending_rules(lexicon: DataFrame, longest: int = LONGEST_ENDING, min_forms: int = MIN_FORMS) -> DataFrame:
+    """(ending, cut, put, forms): the commonest change after each ending of up to ``longest`` letters.
+
+    An ending holds the whole part that changes and leaves at least a letter before it; at least
+    ``min_forms`` forms must have the change. Of equally common changes the one that cuts less
+    counts, then the first in the order of what is put.
+    """
+    sizes = F.sequence(F.greatest(F.col("cut"), F.lit(1)), F.least(F.lit(longest), F.length("form") - 1))
+    fits = F.greatest(F.col("cut"), F.lit(1)) <= F.least(F.lit(longest), F.length("form") - 1)
+    endings = _changes(lexicon).where(fits).select("cut", "put", F.explode(F.transform(sizes, lambda n: F.expr("form").substr(F.length("form") - n + 1, n))).alias("ending"))
+    counted = endings.groupBy("ending", "cut", "put").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") >= min_forms)
+    best = F.min(F.struct((-F.col("forms")).alias("_less"), "cut", "put"))
+    return counted.groupBy("ending").agg(best.alias("_best")).select("ending", "_best.cut", "_best.put", (-F.col("_best._less")).alias("forms"))
+
+
+def lemmas_by_rule(forms: DataFrame, rules: DataFrame, form: str = "form", longest: int = LONGEST_ENDING) -> DataFrame:
+    """(form, lemma) of the distinct ``forms`` that have a known ending and keep a stem of MIN_STEM letters."""
+    single = forms.select(F.col(form).alias("form")).where(F.length("form") > 1).distinct()
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("form") - 1))
+    endings = single.select("form", F.explode(F.transform(sizes, lambda n: F.expr("form").substr(F.length("form") - n + 1, n))).alias("ending"))
+    found = endings.join(rules, "ending").where(F.length("form") - F.col("cut") >= MIN_STEM)
+    best = found.groupBy("form").agg(F.max(F.struct(F.length("ending").alias("size"), "cut", "put")).alias("_rule"))
+    return best.select("form", F.concat(F.expr("substring(form, 1, length(form) - _rule.cut)"), F.col("_rule.put")).alias("lemma"))
+
+
+def completed(df: DataFrame, text: str, lexicon: DataFrame, rules: DataFrame) -> DataFrame:
+    """The lexicon, and the lemmas by rule of the texts' words that it lacks; words without either stay away."""
+    words = df.where(F.col(text).isNotNull()).select(F.explode(F.split(text, " ")).alias("form")).distinct()
+    unseen = words.join(lexicon.select("form"), "form", "left_anti")
+    return lexicon.select("form", "lemma").unionByName(lemmas_by_rule(unseen, rules))
+
+
 def lemmatize(df: DataFrame, text: str, output: str, key: str, lexicon: Lexicon | None) -> DataFrame:
     """Add ``output``: the words of a cleaned text, each replaced by its lemma if it has one.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxgrain.functions import text as tx
 from voxgrain.operators import cleaning as cl
+from voxgrain.operators import lemmas as lm
 from voxgrain.operators.lemmas import lemmatize
 from voxgrain.operators.profiling import count_by
 from voxgrain.plans import inputs as ip
@@ -87,14 +88,47 @@ def lemma_lexicon(spark, sf_dir):
     return lemmatize(joined, "cleaned", "by_expression", "doc_id", ip.LEXICON).select("doc_id", "lemmatized", "by_expression")
 
 
+# A lexicon from the given texts: their words, most without a usual ending, some as they are.
+ENDINGS = "(ungen|ing|en|ed|es|s)$"
+LONG_WORD = 5
+
+
+def _word_lexicon(spark, sf_dir):
+    words = ip.table(spark, sf_dir, "benchmark").select(F.explode(F.split(tx.clean_text("text"), " ")).alias("form")).where("form <> ''").distinct()
+    regular = (F.length("form") >= LONG_WORD) & (F.length("form") % 7 != 0)
+    return words.select("form", F.when(regular, F.regexp_replace("form", ENDINGS, "")).otherwise(F.col("form")).alias("lemma"))
+
+
+def lemma_rules(spark, sf_dir):
+    return lm.ending_rules(_word_lexicon(spark, sf_dir))
+
+
+def lemma_by_rule(spark, sf_dir):
+    """The lexicon with the lemmas of all further words of the documents that have a known ending."""
+    lexicon = _word_lexicon(spark, sf_dir)
+    texts = ip.documents(spark, sf_dir).select(tx.clean_text("text").alias("text"))
+    return lm.completed(texts, "text", lexicon, lm.ending_rules(lexicon))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_text, clean_pages, clean_valid, valid_modes, clean_stats, clean_before_after,
-        dedup_lemmatized, dedup_counts, platform_counts, nonempty_text, lemma_lexicon,
+        dedup_lemmatized, dedup_counts, platform_counts, nonempty_text, lemma_lexicon, lemma_rules, lemma_by_rule,
     )
 }
 
+_RULES = {
+    "lexicon": f"""SELECT form, CASE WHEN length(form) >= {LONG_WORD} AND length(form) % 7 <> 0 THEN regexp_replace(form, '{ENDINGS}', '') ELSE form END AS lemma FROM (
+        SELECT DISTINCT unnest(string_split({sql.cleaned('text')}, ' ')) AS form FROM benchmark) WHERE form <> ''""",
+    "changes": """SELECT form, length(form) - same AS cut, substr(lemma, same + 1) AS put FROM (
+        SELECT form, lemma, list_max(list_filter(range(0, least(length(form), length(lemma)) + 1), lambda i: substr(form, 1, i) = substr(lemma, 1, i))) AS same FROM lexicon)""",
+    "endings": f"""SELECT cut, put, right(form, n) AS ending FROM (
+        SELECT *, unnest(range(greatest(cut, 1), least({lm.LONGEST_ENDING}, length(form) - 1) + 1)) AS n FROM changes)""",
+    "rules": f"""SELECT ending, CAST(cut AS INTEGER) AS cut, put, forms FROM (
+        SELECT *, row_number() OVER (PARTITION BY ending ORDER BY forms DESC, cut, put) AS place
+        FROM (SELECT ending, cut, put, count(*) AS forms FROM endings GROUP BY ALL) WHERE forms >= {lm.MIN_FORMS}) WHERE place = 1""",
+}
 _LEX = ", ".join(f"({sql.quoted(a)}, {sql.quoted(b)})" for a, b in ip.LEXICON.items())
 _LEMMA = f"""
 SELECT t.id, string_agg(coalesce(x.lemma, t.word), ' ' ORDER BY t.at) AS lemmatized
@@ -153,6 +187,17 @@ SQL = {
         (SELECT min(id) FROM processed WHERE is_valid GROUP BY lemmatized) GROUP BY platform"""
     ),
     "nonempty_text": sql.with_posts("SELECT id, selftext FROM posts WHERE selftext IS NOT NULL AND selftext <> ''"),
+    "lemma_rules": sql.with_named("SELECT ending, cut, put, forms FROM rules", **_RULES),
+    "lemma_by_rule": sql.with_named(
+        f"""SELECT form, lemma FROM lexicon UNION ALL
+        SELECT form, substr(form, 1, CAST(length(form) - cut AS BIGINT)) || put AS lemma FROM (
+          SELECT form, cut, put, row_number() OVER (PARTITION BY form ORDER BY length(ending) DESC) AS place
+          FROM (SELECT form, right(form, n) AS ending FROM (SELECT form, unnest(range(1, least({lm.LONGEST_ENDING}, length(form) - 1) + 1)) AS n FROM unseen)) JOIN rules USING (ending)
+          WHERE length(form) - cut >= {lm.MIN_STEM}) WHERE place = 1""",
+        **_RULES,
+        unseen=f"""SELECT DISTINCT form FROM (SELECT unnest(string_split({sql.cleaned('text')}, ' ')) AS form FROM documents)
+            WHERE length(form) > 1 AND form NOT IN (SELECT form FROM lexicon)""",
+    ),
     "lemma_lexicon": sql.with_named(
         """SELECT m.id AS doc_id, l.lemmatized, l.lemmatized AS by_expression FROM marked m JOIN lemmas l ON l.id = m.id""",
         marked=f"SELECT doc_id AS id, {sql.cleaned('text')} AS cleaned FROM documents", lemmas=_LEMMA,
