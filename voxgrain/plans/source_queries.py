@@ -138,6 +138,17 @@ def stream_dedup(spark, sf_dir):
     return _drained(spark, st.drop_repeats(stream, "event_id").select("event_id", "event_type"), "dedup")
 
 
+def stream_dedup_ever(spark, sf_dir):
+    """Events landed twice, the second time after the watermark, and those of an earlier run left out."""
+    events = ip.table(spark, sf_dir, "events")
+    root = fl.scratch_folder(spark, "landed-late")
+    fl.write_posts(events, root, mode="append")
+    fl.write_posts(events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 400 DAYS")), root, mode="append")
+    earlier = events.where("event_id % 10 = 0").select("event_id")
+    stream = st.event_time(st.ingest(spark, root, events.schema, files_per_trigger=1), "ts", "1 hour")
+    return _drained(spark, st.drop_repeats_ever(stream, "event_id", earlier).select("event_id", "event_type"), "dedup-ever")
+
+
 def stream_hourly(spark, sf_dir):
     """Event types stand for sentiments here; the complete result equals the batch count."""
     stream = st.event_time(_events(spark, sf_dir), "ts", DELAY)
@@ -161,7 +172,7 @@ QUERIES = {
     for f in (
         io_csv_roundtrip, io_json_lines, io_parquet_roundtrip, union_sources, union_formats, latest_file, file_inventory,
         integrity_check, quarantine, quarantined_lines, required_columns, partitioned_out, topic_slug,
-        stream_ingest, stream_dedup, stream_hourly, stream_score,
+        stream_ingest, stream_dedup, stream_dedup_ever, stream_hourly, stream_score,
     )
 }
 
@@ -186,6 +197,7 @@ SQL = {
     "topic_slug": "SELECT doc_id, 'Run A-' || source AS topic, 'run_a_' || lower(source) AS topic_slug FROM documents",
     "stream_ingest": "SELECT event_id, event_type, round(value, 6) AS value FROM events",
     "stream_dedup": "SELECT event_id, event_type FROM events",
+    "stream_dedup_ever": "SELECT event_id, event_type FROM events WHERE event_id % 10 <> 0",
     "stream_hourly": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_score": f"""SELECT doc_id, lemmatized, CAST(length(lemmatized) AS INTEGER) AS length,
         {sql.weak_label('lemmatized', 'doc_id')} AS predicted_sentiment

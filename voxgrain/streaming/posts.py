@@ -38,6 +38,18 @@ def drop_repeats(posts: DataFrame, key: str) -> DataFrame:
     return posts.dropDuplicatesWithinWatermark([key])
 
 
+def drop_repeats_ever(posts: DataFrame, key: str, earlier: DataFrame | None = None) -> DataFrame:
+    """One row per key among all rows of the stream, however far apart, over restarts from its checkpoint.
+
+    The state holds every key seen, so it belongs in a state store on disk (RocksDB, which
+    ``get_session`` sets), where only its size on disk grows. Keys of ``earlier`` output, of another
+    stream or a batch run, are dropped too; they are joined and not kept in the state. Rows
+    without a key are one row.
+    """
+    fresh = posts.join(earlier.select(key).distinct(), key, "left_anti") if earlier is not None else posts
+    return fresh.dropDuplicates([key])
+
+
 def hourly_counts(posts: DataFrame, timestamp: str, sentiment: str) -> DataFrame:
     """(hour, sentiment, n) in tumbling windows of one hour."""
     windows = posts.groupBy(F.window(timestamp, "1 hour").alias("_window"), sentiment)
