@@ -1,7 +1,7 @@
 """Text Columns: Unicode-safe cleaning, tokens, lengths and display forms.
 
 Everything here is a built-in expression, so a whole cleaning chain stays in one
-projection and one code-generated stage next to the scan.
+projection and one code-generated stage next to the scan; only long word lists are not.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxgrain.functions.word_lists import MANY_WORDS, found_words
+
 # Character classes and patterns that decide the result.
 # Java's \w and \s are ASCII only, so the Unicode classes are spelled out; the URL
 # pattern is a single class because Java recurses on repeated alternations.
@@ -74,12 +76,16 @@ def full_text(title: Column | str, body: Column | str) -> Column:
 def matched_keywords(text: Column | str, keywords: Sequence[str]) -> Column:
     """The keywords found in the text as case-insensitive substrings, in given order."""
     lowered = F.lower(as_column(text))
+    if len(keywords) > MANY_WORDS:
+        return found_words(lowered, [word.lower() for word in keywords], keywords)
     hits = [F.when(F.contains(lowered, F.lit(word.lower())), F.lit(word)) for word in keywords]
     return F.array_compact(F.array(*hits))
 
 
 def has_keyword(text: Column | str, keywords: Sequence[str]) -> Column:
     lowered = F.lower(as_column(text))
+    if len(keywords) > MANY_WORDS:
+        return F.when(lowered.isNotNull(), F.size(found_words(lowered, [word.lower() for word in keywords])) > 0)
     found = F.lit(False)
     for word in keywords:
         found = found | F.contains(lowered, F.lit(word.lower()))

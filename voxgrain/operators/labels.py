@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxgrain.functions.sampling import DEFAULT_SEED, DRAW_RANGE, draw
 from voxgrain.functions.text import WORD, as_column
+from voxgrain.functions.word_lists import MANY_WORDS, found_words
 from voxgrain.operators.ranking import number_within
 
 # Classes with their codes, the words of the weak labels, the odds of a
@@ -46,6 +47,8 @@ def label_name(code: Column | str) -> Column:
 def word_hits(text: Column | str, words: Sequence[str], whole_words: bool = False) -> Column:
     """How many of the words occur in the text, each counted once."""
     lowered = F.lower(as_column(text))
+    if len(words) > MANY_WORDS and not whole_words:
+        return F.when(lowered.isNotNull(), F.size(found_words(lowered, words)))
     hits = F.lit(0)
     for word in words:
         if whole_words:

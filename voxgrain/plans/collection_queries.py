@@ -13,6 +13,7 @@ from voxgrain.plans import inputs as ip
 from voxgrain.plans import sql
 
 TOPIC = ip.TOPIC
+LONG_WORD = 6
 _as_of = lambda: F.lit(ip.AS_OF).cast("timestamp_ntz")
 _wanted = lambda: F.col("lang") == TOPIC.language
 
@@ -100,11 +101,20 @@ def community_distribution(spark, sf_dir):
     return col.community_counts(ip.table(spark, sf_dir, "documents"), "source")
 
 
+def word_list(spark, sf_dir):
+    """How many of some hundred words or more stand in each document: all longer words of the benchmark passages."""
+    words = ip.table(spark, sf_dir, "benchmark").select(F.explode(F.split(tx.clean_text("text"), " ")).alias("word"))
+    longer = [r["word"] for r in words.where(F.length("word") >= LONG_WORD).distinct().orderBy("word").collect()]
+    found = F.size(tx.matched_keywords("text", longer))
+    return ip.documents(spark, sf_dir).select("doc_id", found.alias("found"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         full_text, landed_posts, keyword_match, collect_filters, candidate_fanout, collect_time_filter, dedup_first_seen,
         quota_select, hot_topup, collected_posts, relevance_topk, collection_stats, community_distribution,
+        word_list,
     )
 }
 
@@ -177,6 +187,8 @@ def _relevance(source):
 
 
 SQL = {
+    "word_list": f"""WITH words AS (SELECT DISTINCT word FROM (SELECT unnest(string_split({sql.cleaned('text')}, ' ')) AS word FROM benchmark) WHERE length(word) >= {LONG_WORD})
+        SELECT doc_id, CAST(count(*) FILTER (contains(lower(text), word)) AS INTEGER) AS found FROM documents, words GROUP BY doc_id""",
     "full_text": sql.with_posts(
         "SELECT id, CASE WHEN selftext <> '' THEN title || ' ' || selftext ELSE title END AS full_text FROM posts"
     ),
