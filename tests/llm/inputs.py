@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 SMALL = "/root/testdata/sf0.001"
 CLASHING = (
     "ids n part place start length sequence_id offset fp least label component class kept key size draw slot rate copies amount "
-    "extra taken target stats score predicted y fold word bucket halo order first also to rep links tree v leaf found tokens verdict base"
+    "extra taken target stats score predicted y fold word bucket halo order first also to rep links tree v leaf found tokens verdict base "
+    "_row _kept _part _copies _extra _key _draw _source _doc _hash _id _from _place _found _first _at _sum met near own"
 ).split()
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))

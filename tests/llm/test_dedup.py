@@ -48,7 +48,7 @@ def test_links_of_planted_fingerprints(spark, monkeypatch, most):
     links = []
     for prefix in range(16):
         left = 2 - np.bitwise_count((values >> np.uint64(60)) ^ np.uint64(prefix)).astype(np.int64)
-        links += list(zip(*[x.tolist() for x in simhash_dedup._forest(*simhash_dedup._colliding(values[left >= 0], left[left >= 0], 60))]))
+        links += list(zip(*[x.tolist() for x in common.forest(*simhash_dedup._colliding(values[left >= 0], left[left >= 0], 60))]))
     got = joined(links, fps)
     assert {frozenset(f for f in fps if got[f] == r) for r in set(got.values())} == sets
 
@@ -74,6 +74,11 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, MESSY[0][1]), (1, other), (None, "no key here but words")]))
 
 
+def test_an_odd_radius_is_refused(spark):
+    with pytest.raises(ValueError, match="even"):
+        simhash_dedup.near_links(spark.createDataFrame([(1,), (2,)], "fp long"), radius=3)
+
+
 def plain_shingles(text, width=5):
     words = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return frozenset(" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
@@ -102,10 +107,33 @@ def test_similar_texts_are_one_document(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(wanted.values()))
 
 
+@pytest.mark.parametrize("size", [100, 200, 400])
+def test_comparisons_follow_the_number_of_copies(spark, monkeypatch, size):
+    """Copies near a common source but mostly not near each other: comparisons grow in proportion."""
+    rng = np.random.default_rng(size)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    texts = []
+    for i in range(size):
+        copy = list(words)
+        for place in rng.choice(150, 3 + i % 7, replace=False):
+            copy[place] = f"x{i}_{place}"
+        texts.append(" ".join(copy))
+    compared, measured = [], shingle_dedup._measured
+    monkeypatch.setattr(shingle_dedup, "_measured", lambda pairs, sets: (compared.append(pairs.count()), measured(pairs, sets))[1])
+    df = messy(spark, [(i, t, "s1") for i, t in enumerate(texts)])
+    found = {r["doc_id"]: r["component"] for r in shingle_dedup.near_duplicates(df).collect()}
+    sets = [plain_shingles(t) for t in texts]
+    links = [(a, b) for a in range(size) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert found == joined(links, range(size)) and len(set(found.values())) > size // 4
+    assert sum(compared) <= 12 * size
+
+
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [(500, i) for i in range(3, 90)], [(1, 2), (None, 2), (5, 4)],
 ])
-def test_components(spark, edges):
+@pytest.mark.parametrize("few", [1 << 16, 5, 0])
+def test_components(spark, monkeypatch, few, edges):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     df = spark.createDataFrame(edges, "a long, b long")
     whole = [(a, b) for a, b in edges if a is not None and b is not None]
     nodes = {x for e in edges for x in e if x is not None}

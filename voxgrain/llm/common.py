@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from voxgrain.sources.files import scratch_folder
@@ -16,6 +18,9 @@ WHITE = "\\x20\\x09-\\x0D"
 
 ZSTD = {"compression": "zstd"}
 
+FEW_EDGES = 1 << 16
+"""So many edges are joined by one task, in a few megabytes."""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,6 +62,14 @@ def small(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[p
             yield batch.slice(start, rows)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_base(df: DataFrame, part: str, ids: str, base: str) -> DataFrame:
     """Add the sum of ``ids`` over all smaller values of ``part``.
 
@@ -77,13 +90,40 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of all nodes but the smallest ones."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[:len(a)], place[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, to): each node of these few edges with the smallest node of its component."""
+    sides = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
+    if sides:
+        node, smallest = forest(*(np.concatenate(side) for side in zip(*sides)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(smallest)], names=["at", "to"])
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): connected components, named by their smallest node.
 
     Every round each node joins the neighbour (or itself) with the smallest draw of the round and
     the edges are rewritten between the joined nodes, so paths and stars of any size shrink by a
     constant share a round. Only aggregates and joins are used: a node with many neighbours is
-    combined map-side or split by adaptive execution. Null nodes are ignored; no edges give no rows.
+    combined map-side or split by adaptive execution. Once no more than FEW_EDGES are left, one task
+    joins them. Nodes are whole numbers. Null nodes are ignored; no edges give no rows.
     """
     ends = edges.select(F.col(left).alias("u"), F.col(right).alias("v"))
     nodes = _kept(
@@ -92,7 +132,11 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     )
     pairs = _kept(ends.where(F.col("u") != F.col("v")).distinct())
     salt = 0
-    while not pairs.isEmpty():
+    while left := pairs.limit(FEW_EDGES + 1).count():
+        if left <= FEW_EDGES:
+            joined = pairs.coalesce(1).mapInArrow(_at_once, T.StructType([T.StructField(c, pairs.schema["u"].dataType) for c in ("at", "to")]))
+            nodes = nodes.join(joined, nodes["label"] == joined["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
+            break
         salt += 1
         draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("draw"), F.col(c).alias("to"))  # noqa: E731, B023
         both = pairs.union(pairs.select("v", "u"))

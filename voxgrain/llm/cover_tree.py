@@ -26,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxgrain.llm.common import components, stored
-from voxgrain.llm.simhash_dedup import _forest
+from voxgrain.llm.common import components, forest, stored
 
 SAMPLE = 2048
 """About so many classes of all labels together shape the trees."""
@@ -247,10 +246,10 @@ def near_vectors(
             if not same:
                 np.add.at(links, j, n[i])
             if len(i):
-                node, other = _forest(rep[i], rep[j])
+                node, other = forest(rep[i], rep[j])
                 heads.append(node)
                 tails.append(other)
-        node, other = _forest(np.concatenate(heads), np.concatenate(tails))
+        node, other = forest(np.concatenate(heads), np.concatenate(tails))
         some = np.flatnonzero(links)
         return pa.table({
             "rep": pa.array(np.concatenate([rep[some], node])), "links": pa.array(np.concatenate([links[some], np.zeros(len(node), np.int64)])),

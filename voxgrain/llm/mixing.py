@@ -166,7 +166,9 @@ def mix(
     A part copy's ``length``, if there is such a column, is set anew.
 
     Rows alike in key, text and source are taken alike, each as often as the one taken most; so
-    rows without a key are told apart by their text and source.
+    rows without a key are told apart by their text and source. All columns are kept, whatever
+    their names; null texts stay null; an empty table gives no rows. A text is cut by one task, in
+    whole.
     """
     alike = [F.col(key).alias("_key"), F.col("draw").alias("_draw"), F.col("source").alias("_source")]
     plan = balance(docs, key=key, text=text, source=source, **settings)
@@ -174,13 +176,14 @@ def mix(
     plan = plan.select("_key", "_draw", "_source", F.col("_most.copies").alias("_copies"), F.col("_most.extra").alias("_extra"))
     plan = plan.where((F.col("_copies") > 0) | (F.col("_extra") > 0))
     parts = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_copies").cast("int")), F.when(F.col("_extra") > 0, F.array("_extra")).otherwise(F.array().cast("array<long>")))
-    same = (_draw(key, text) == plan["_draw"]) & docs[key].eqNullSafe(plan["_key"]) & docs[source].eqNullSafe(plan["_source"])
-    rows = docs.join(plan, same).withColumn("_part", F.explode(parts))
-    words = F.split(F.regexp_replace(text, f"^[{WHITE}]+", ""), f"[{WHITE}]+")
+    # The caller's columns travel as one, so that no name of theirs meets one of these.
+    carried = docs.select(F.struct(*docs.columns).alias("_doc"), _draw(key, text).alias("_hash"), F.col(key).alias("_id"), F.col(source).alias("_from"))
+    same = (F.col("_hash") == F.col("_draw")) & F.col("_id").eqNullSafe(F.col("_key")) & F.col("_from").eqNullSafe(F.col("_source"))
+    rows = carried.join(plan, same).withColumn("_part", F.explode(parts))
+    content, whole = F.col("_doc")[text], F.col("_part") < 0
+    words = F.split(F.regexp_replace(content, f"^[{WHITE}]+", ""), f"[{WHITE}]+")
     first = F.array_join(F.slice(words, 1, F.col("_part").cast("int")), " ")
-    rows = rows.withColumn(text, F.when(F.col("_part") < 0, F.col(text)).otherwise(first))
+    new = {text: F.when(whole, content).otherwise(first)}
     if length in docs.columns:
-        rows = rows.withColumn(
-            length, F.when(F.col("_part") < 0, F.col(length)).otherwise(F.length(text)).cast(docs.schema[length].dataType)
-        )
-    return rows.select(*docs.columns)
+        new[length] = F.when(whole, F.col("_doc")[length]).otherwise(F.length(first)).cast(docs.schema[length].dataType)
+    return rows.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])

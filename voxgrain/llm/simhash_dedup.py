@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxgrain.llm.common import byte_values, components, small, stored
+from voxgrain.llm.common import byte_values, components, forest, free_name, small, stored
 
 SEED = 42
 PER_BUCKET = 9
@@ -95,30 +95,14 @@ def _colliding(fps: np.ndarray, left: np.ndarray, bits: int) -> tuple[np.ndarray
     return pairs[:, 0], pairs[:, 1]
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node of its component) of all nodes but the smallest ones."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = place[:len(a)], place[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """(fp, other): links that connect all distinct fingerprints with at most ``radius`` bits between them.
 
-    ``radius`` is even. Fingerprints linked here are connected by such pairs and all such pairs are
+    ``radius`` must be even. Fingerprints linked here are connected by such pairs and all such pairs are
     connected here; a group is not expanded into its pairs.
     """
+    if radius % 2:
+        raise ValueError(f"the radius must be even, not {radius}")
     half = radius // 2
     prefix = max(4, min(24, distinct.count().bit_length() - PER_BUCKET))
     rest = 64 - prefix
@@ -131,7 +115,7 @@ def near_links(distinct: DataFrame, radius: int = 4) -> DataFrame:
         fps = np.unique(group.column("fp").to_numpy().view(np.uint64))
         bucket = np.uint64(group.column("bucket")[0].as_py())
         left = half - np.bitwise_count((fps >> np.uint64(rest)) ^ bucket).astype(np.int64)
-        node, other = _forest(*_colliding(fps, left, rest)) if len(fps) > 1 else (fps[:0], fps[:0])
+        node, other = forest(*_colliding(fps, left, rest)) if len(fps) > 1 else (fps[:0], fps[:0])
         return pa.table({"fp": pa.array(node.view(np.int64)), "other": pa.array(other.view(np.int64))})
 
     return sent.groupBy("bucket").applyInArrow(link, "fp long, other long")
@@ -163,10 +147,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near
 
     It is the first by key (nulls last), text hash and the number the row was stored under; rows
     alike in all of these but the number are one document. ``find`` gives (key, ..., component) for
-    keys that are unique. Rows are stored once, so that their numbers hold.
+    keys that are unique. Rows are stored once, so that their numbers hold. All columns are kept,
+    whatever their names; null and empty texts are one document; an empty table gives no rows. Very
+    long texts are held by one task at a time, in whole.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = find(rows, "_row", text, **settings).select(F.col("_row").alias("_found"), "component")
-    places = rows.select("_row", F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(text), F.col("_row").alias("_kept")).alias("_place"))
-    first = found.join(places, found["_found"] == places["_row"]).groupBy(found["component"]).agg(F.min("_place").getField("_kept").alias("_kept"))
-    return rows.join(first.select("_kept"), rows["_row"] == F.col("_kept"), "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = find(rows, row, text, **settings).select(F.col(row).alias("_found"), "component")
+    places = rows.select(F.col(row).alias("_at"), F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(text), F.col(row).alias("_kept")).alias("_place"))
+    first = found.join(places, found["_found"] == places["_at"]).groupBy("component").agg(F.min("_place").getField("_kept").alias("_first")).select("_first")
+    return rows.join(first, rows[row] == first["_first"], "left_semi").drop(row)
