@@ -19,7 +19,6 @@ WORDS, BYTES = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_b
 
 def plain(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -35,6 +34,12 @@ def test_pieces_give_the_whole_text(path, text):
     assert ids == plain(path)(text)
 
 
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_special_tokens_are_what_the_tokenizer_takes_them_for(path):
+    texts = ["plain words", "a <|endoftext|> b", "<|startoftext|><|endoftext|>", "x<|ENDOFTEXT|>y <|endoftext|", "plain words", "end <|endoftext|>"]
+    assert [np.frombuffer(found, "<u4").tolist() for found in Encoder(path).encode(texts)] == [plain(path)(t) for t in texts]
+
+
 def test_packing_query(spark):
     encode, texts = plain(WORDS), texts_of(spark)
     pieces = queries.op1_packing(spark, SMALL).collect()

@@ -27,15 +27,18 @@ class Encoder:
 
     A text is cut before each blank or line break that follows a character other than white space.
     The tokenizers this is made for (byte-level and word-end BPE) never build a token across such a
-    place, so the joined ids are those of the whole text. Strings of special tokens in a text are
-    ordinary text.
+    place, so the joined ids are those of the whole text. A text that holds the string of a special
+    token is encoded as a whole, as the tokenizer takes it for that token.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # Pieces hold no special tokens, whatever their words.
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         # Byte-level vocabularies mark the first id of a word by its blank, word-end ones its last.
@@ -46,6 +49,20 @@ class Encoder:
         self.marked[starts if self.at_start else ends] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [any(token in text for token in self.special) for text in texts]
+        if not any(whole):
+            return self._by_pieces(texts)
+        plain = iter(self._by_pieces([t for t, special in zip(texts, whole) if not special]))
+        return [np.array(self._exact.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if special else next(plain) for t, special in zip(texts, whole)]
+
+    @functools.cached_property
+    def _exact(self):
+        """The tokenizer as its file has it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         pieces = [self._any(t) if BLANK_AFTER_BLANK.search(t) or "\0" in t else self._simple(t) for t in texts]
         known = self.known
         unknown = list(set().union(*pieces) - known.keys())
