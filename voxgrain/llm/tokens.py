@@ -140,3 +140,8 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One per worker process and file."""
     return Encoder(path)
+
+
+def forget() -> None:
+    """Give up what this worker remembers of its tokenizers, when it goes on with other work."""
+    encoder.cache_clear()
