@@ -102,3 +102,12 @@ def test_tie_odds(spark):
     drawn = spark.range(20000).select(la.weak_label(F.lit("x"), "id").alias("s")).groupBy("s").count().collect()
     shares = {r["s"]: r["count"] / 20000 for r in drawn}
     assert abs(shares["neutral"] - 0.6) < 0.02 and abs(shares["positive"] - 0.2) < 0.02
+
+
+def test_cleaning_is_the_same_in_fewer_steps(spark):
+    texts = ["a@b #c d http://x.y/z e", "  A\u00a0-- b_c\t\n!", "h\u00e9 \u0130 \u4e2d,\u6587", "#", "", None, "x@http://q r", "...", "a \x1c b\x85c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    lowered = F.lower(F.coalesce("t", F.lit("")))
+    steps = tx.squeeze_spaces(F.regexp_replace(tx.remove_hashtags(tx.remove_mentions(tx.remove_urls(lowered))), tx.NON_WORD_PATTERN, " "))
+    for r in df.select(tx.clean_text("t").alias("a"), steps.alias("b")).collect():
+        assert r["a"] == r["b"]

@@ -91,3 +91,15 @@ def test_day_extremes_take_the_earliest(spark):
     df = spark.sql("SELECT explode(array(timestamp'2024-01-02 01:00:00', timestamp'2024-01-01 02:00:00')) AS timestamp")
     row = pr.day_extremes(df).first()
     assert str(row["busiest_day"]) == str(row["quietest_day"]) == "2024-01-01"
+
+
+def test_histogram_makes_its_values_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(n):
+        seen.add(1)
+        return n
+
+    df = spark.range(20).select(F.udf(value, "long")("id").alias("v"))
+    assert sum(r["n"] for r in pr.histogram(df, "v", 4).collect()) == 20
+    assert seen.value == 20

@@ -102,9 +102,11 @@ def describe(df: DataFrame, value: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 50, low: float | None = None, high: float | None = None) -> DataFrame:
     """(bin, low, high, n) for non-empty bins of equal width; the last bin is closed.
 
-    Without given bounds the range is the scalar minimum and maximum of the column.
+    Without given bounds the range is the scalar minimum and maximum of the column, whose values are
+    then made once and kept.
     """
     if low is None or high is None:
+        df = materialize(df.select(value))
         limits = df.select(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
         start, stop = limits.getField("low").cast("double"), limits.getField("high").cast("double")
     else:
