@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity at least 0.8."""
-    return simhash_dedup.keep_one(docs, find=shingle_dedup.near_duplicates, words=5, likeness=0.8)
+    """One document of each group linked by fingerprints of four bits' difference, or by shingles of five words and similarity 0.8."""
+    by_shingles = partial(shingle_dedup.near_duplicates, words=5, likeness=0.8)
+    return simhash_dedup.keep_one(docs, find=simhash_dedup.united, finds=(simhash_dedup.near_duplicates, by_shingles))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

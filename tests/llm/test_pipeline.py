@@ -30,3 +30,11 @@ def test_stages_take_any_documents(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_near_duplicates_by_fingerprint_and_by_shingles(spark):
+    often = " ".join(f"w{i}" for i in range(100))
+    texts = {1: " ".join([often] * 50), 2: " ".join([often] * 50 + [f"new{i}" for i in range(40)]), 3: " ".join(f"x{i}" for i in range(60))}
+    texts |= {4: texts[3] + " end", 5: "quite another text of some few words"}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, docs, SMALL).collect()) == [1, 3, 5]

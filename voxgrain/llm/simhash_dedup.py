@@ -11,7 +11,7 @@ fingerprint, so nothing grows with the square of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -142,6 +142,16 @@ def near_duplicates(
     return prints.join(classes, prints["fp"] == classes["class"]).select(key, "fp", "component")
 
 
+def united(docs: DataFrame, key: str, text: str, finds: Sequence[Callable[..., DataFrame]]) -> DataFrame:
+    """(key, component): the smallest key reachable by what any of ``finds`` links; keys are unique numbers."""
+    links = None
+    for find in finds:
+        found = find(docs, key, text).where(F.col(key) != F.col("component")).select(key, F.col("component").alias("_other"))
+        links = found if links is None else links.union(found)
+    joined = components(stored(links, "links"), key, "_other")
+    return docs.select(key).join(joined, F.col(key) == joined["node"], "left").select(key, F.coalesce("component", key).alias("component"))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates, **settings) -> DataFrame:
     """One row of ``docs`` of each component, rows without a key included.
 
