@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from voxgrain.operators import skipgram as sg
+from voxgrain.sources.files import scratch_folder
 
 
 def test_pairs_are_counted_by_distance(spark):
@@ -67,3 +68,22 @@ def test_vectors_do_not_depend_on_partitioning(spark):
 
 def test_no_words(spark):
     assert sg.train_vectors(spark.createDataFrame([("one two",), (None,)], "text string"), "text", size=4).collect() == []
+
+
+def test_pairs_are_shuffled_once(spark):
+    df = spark.createDataFrame([("a b a c",)], "text string")
+    plan = sg.word_pairs(df, "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r["word"], r["context"]): round(r["weight"] * 5) for r in sg.word_pairs(df, "text").collect()}["a", "a"] == 8
+
+
+def test_blocks_lie_in_two_folders(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(sg, "scratch_folder", lambda session, purpose: made.append(purpose) or scratch_folder(session, purpose))
+    sg.train_vectors(planted(spark), "text", size=4, epochs=2, block=20, passes=1).collect()
+    assert made.count("vectors") == 2
+
+
+def test_blocks_grow_before_their_number_does():
+    assert [sg.blocks_of(n, 4096) for n in (1, 4096, 30_971, 65_536, 300_000, 524_288, 1_000_000)] == [1, 1, 8, 16, 16, 16, 31]
+    assert sg.blocks_of(60, 20) == 3
