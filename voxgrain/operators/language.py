@@ -25,7 +25,7 @@ PROFILE_GRAMS = 5000
 MAX_PROFILE_GRAMS = 100_000
 MAX_LANGUAGES = 1000
 SCORE_DIGITS = 6
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def _framed(text: Column | str) -> Column:
