@@ -26,6 +26,21 @@ def test_lemmas(spark):
     assert sorted_rows(lemmas.lemmatize(df, "text", "out", "id", table)) == wanted
 
 
+@pytest.mark.parametrize("limit", [lemmas.LOOKUP_BYTES, 0])
+def test_lemma_tables(spark, monkeypatch, limit):
+    """Small tables shuffle no text; larger ones are joined with each text's distinct words. Both give the same lemmas."""
+    monkeypatch.setattr(lemmas, "LOOKUP_BYTES", limit)
+    rows = [*ROWS, (3, ""), (3, " cat  dogs "), (4, "dogs cat dogs cat"), (4, "Éle dogs"), (5, "none known")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    table = spark.createDataFrame([*FORMS.items(), ("dogs", "zog"), ("big", None), (None, "x"), ("Éle", "él"), ("the", "")], "form string, lemma string")
+    found = lemmas.lemmatize(df, "text", "out", "id", table)
+    told = {**FORMS, "Éle": "él", "the": ""}
+    assert found.columns == ["id", "text", "out"]
+    assert sorted_rows(found) == sorted(((i, t, t and " ".join(told.get(w, w) for w in t.split(" "))) for i, t in rows), key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and ("Exchange" in plan) == (limit == 0)
+
+
 def test_sentence_vectors(spark):
     df = spark.createDataFrame(ROWS, "id long, text string")
     vectors = spark.createDataFrame([("cat", [3.0, 4.0]), ("dogs", [0.0, 2.0]), ("the", [1.0, 0.0])], "word string, vector array<float>")

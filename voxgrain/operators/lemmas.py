@@ -8,18 +8,26 @@ of its longest known ending.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from typing import Union
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxgrain.sources.files import materialize
+
 Lexicon = Union[Mapping[str, str], DataFrame]
 
 # A literal map is searched from front to back for each word, so only short lexicons
 # are written into the expression; longer ones become a table.
 LITERAL_ENTRIES = 200
 
+# Tables up to this many bytes go through the driver to every executor; larger ones are
+# joined, with the same result.
+LOOKUP_BYTES = 8 * 1024 * 1024
+ENTRY_BYTES = 32
+
 
 LONGEST_ENDING = 6
 MIN_FORMS = 2
@@ -72,8 +80,9 @@ def lemmatize(df: DataFrame, text: str, output: str, key: str, lexicon: Lexicon
 
     ``lexicon`` is a mapping form -> lemma or a DataFrame (form, lemma), of whose repeated
     forms the smallest lemma counts. Rows need no key of their own: ``key`` may be null or
-    repeated. Spark broadcasts the table only below its size threshold and otherwise joins
-    by shuffle, splitting skewed forms at run time. Null texts stay null.
+    repeated. The table is computed once and measured: up to LOOKUP_BYTES it travels to the
+    executors and no text is shuffled, else it is joined by shuffle, splitting skewed forms
+    at run time. Null texts stay null.
     """
     if lexicon is None:
         return df.withColumn(output, F.col(text))
@@ -84,7 +93,7 @@ def lemmatize(df: DataFrame, text: str, output: str, key: str, lexicon: Lexicon
     if isinstance(lexicon, Mapping):
         rows = [(form, lemma) for form, lemma in lexicon.items()]
         lexicon = df.sparkSession.createDataFrame(rows, "form string, lemma string")
-    return _by_join(df, text, output, lexicon)
+    return _by_table(df, text, output, lexicon)
 
 
 def _by_literal(text, lexicon):
@@ -94,16 +103,42 @@ def _by_literal(text, lexicon):
     return F.array_join(words, " ")
 
 
-def _by_join(df, text, output, lexicon):
-    """Lemmas of every distinct text, found again by the text's digest, so keys do not matter."""
-    digest = F.sha2(text, 256)
+def _by_table(df, text, output, lexicon):
+    told = lexicon.where(F.col("form").isNotNull() & F.col("lemma").isNotNull())
+    forms = materialize(told.groupBy(F.col("form").alias("_word")).agg(F.min("lemma").alias("_lemma")))
+    size = forms.select(F.sum(F.octet_length("_word") + F.octet_length("_lemma") + ENTRY_BYTES)).first()[0]
+    return (_by_lookup if (size or 0) <= LOOKUP_BYTES else _by_join)(df, text, output, forms)
+
+
+def _replaced(text, lemmas):
+    return " ".join([lemmas.get(word, word) for word in text.split(" ")])
+
+
+def _by_lookup(df, text, output, forms):
+    shared = df.sparkSession.sparkContext.broadcast({r["_word"]: r["_lemma"] for r in forms.collect()})
+
+    @F.pandas_udf("string")
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if t is None else _replaced(t, shared.value) for t in batch], dtype=object)
+
+    return df.withColumn(output, replace(F.col(text)))
+
+
+def _by_join(df, text, output, forms):
+    """Lemmas of every distinct text, found again by the text's digest, so keys do not matter.
+
+    A text sends each of its words once, and gets back those that have a lemma.
+    """
+    digest = F.unhex(F.sha2(text, 256))
     texts = df.where(F.col(text).isNotNull()).groupBy(digest.alias("_digest")).agg(F.first(text).alias("_text"))
-    words = texts.select("_digest", F.posexplode(F.split("_text", " ")).alias("_at", "_word"))
-    forms = lexicon.groupBy(F.col("form").alias("_word")).agg(F.min("lemma").alias("_lemma"))
-    told = words.join(forms, "_word", "left").select("_digest", "_at", F.coalesce("_lemma", "_word").alias("_lemma"))
-    lines = told.groupBy("_digest").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("_at", "_lemma"))), lambda part: part["_lemma"]), " "
-        ).alias(output)
-    )
-    return df.join(lines, digest == lines["_digest"], "left").drop("_digest")
+    words = texts.select("_digest", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
+    told = words.join(forms, "_word").groupBy("_digest").agg(F.collect_list(F.struct("_word", "_lemma")).alias("_told"))
+
+    @F.pandas_udf("string")
+    def replace(texts: pd.Series, words: pd.Series, lemmas: pd.Series) -> pd.Series:
+        rows = (t if t is None or w is None else _replaced(t, dict(zip(w, m))) for t, w, m in zip(texts, words, lemmas))
+        return pd.Series(list(rows), dtype=object)
+
+    joined = df.join(told, digest == told["_digest"], "left")
+    return joined.withColumn(output, replace(F.col(text), F.col("_told._word"), F.col("_told._lemma"))).drop("_digest", "_told")

@@ -81,7 +81,7 @@ def nonempty_text(spark, sf_dir):
 
 
 def lemma_lexicon(spark, sf_dir):
-    """The same lexicon as an expression and as a joined table give one result."""
+    """The same lexicon as an expression and as a table give one result."""
     df = ip.documents(spark, sf_dir).select("doc_id", tx.clean_text("text").alias("cleaned"))
     table = spark.createDataFrame(list(ip.LEXICON.items()), "form string, lemma string")
     joined = lemmatize(df, "cleaned", "lemmatized", "doc_id", table)
