@@ -1,8 +1,10 @@
 """Word pairs against counting by hand, and vectors by what stands near planted synonyms."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxgrain.operators import skipgram as sg
@@ -87,3 +89,53 @@ def test_blocks_lie_in_two_folders(spark, monkeypatch):
 def test_blocks_grow_before_their_number_does():
     assert [sg.blocks_of(n, 4096) for n in (1, 4096, 30_971, 65_536, 300_000, 524_288, 1_000_000)] == [1, 1, 8, 16, 16, 16, 31]
     assert sg.blocks_of(60, 20) == 3
+
+
+def test_slabs_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(sg, "SLAB", 5)
+    texts = [["b", "a", "b"], [], ["c"], ["a"] * 7, ["d", "a"], ["b"]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], names=["words"]) for part in (texts[:2], texts[2:])]
+    found = []
+    for words, codes, row in sg._slabs(iter(batches)):
+        assert words.to_pylist() == sorted(set(words.to_pylist()))
+        found += [[words[int(c)].as_py() for c in codes[row == r]] for r in range(row.max() + 1)]
+    assert [t for t in found if t] == [t for t in texts if t]
+
+
+def test_near_pairs_by_hand():
+    rng = np.random.default_rng(4)
+    codes, row, wanted = rng.integers(-1, 6, 300), np.repeat(np.arange(30), 10), Counter()
+    for i in range(300):
+        for d in range(1, 6):
+            if i + d < 300 and row[i] == row[i + d] and min(codes[i], codes[i + d]) >= 0:
+                wanted[tuple(sorted((codes[i], codes[i + d])))] += 6 - d
+    a, b, steps = sg._near_pairs(codes, row, 5, 6)
+    assert dict(zip(zip(a, b), steps)) == wanted
+    assert [len(x) for x in sg._near_pairs(codes[:0], row[:0], 5, 0)] == [0, 0, 0]
+
+
+def test_packed_pairs_are_the_weights_of_known_words(spark):
+    """Words are rows, pairs are not: the pairs of a text lie packed by the blocks of their words."""
+    df = spark.createDataFrame([("a b c a once",), ("b a d d",), (None,), ("d c",)], "text string")
+    vocab = sg._placed(sg.word_counts(df, "text"), 3)
+    known = {(r["block"], r["place"]): (r["word"], r["keep"]) for r in vocab.collect()}
+    wanted = {frozenset((r["word"], r["context"])): r["weight"] for r in sg.word_pairs(df, "text").collect()}
+    found = Counter()
+    for r in sg._packed_pairs(df, "text", sg.WINDOW, vocab, lambda table, *_: table.localCheckpoint()).collect():
+        a, b, weight = np.frombuffer(r["data"], np.int32).reshape(3, -1)
+        for x, y, w in zip(a, b, weight.view(np.float32)):
+            (one, keep_one), (other, keep_other) = known[r["task"], x], known[r["task"] + r["apart"], y]
+            found[frozenset((one, other))] += w / keep_one / keep_other * (2 if one == other else 1)
+    assert found == pytest.approx({pair: w for pair, w in wanted.items() if "once" not in pair}, rel=1e-5)
+
+
+def test_a_cell_of_frequent_words_is_trained_in_parts():
+    """256 words that all meet 3,000 contexts: no vector per pair is held."""
+    words, contexts = np.zeros((256, 17), np.float32), np.zeros((3000, 17), np.float32)
+    words[:, :16] = np.random.default_rng(3).normal(size=(256, 16)) / 16
+    pairs = (np.repeat(np.arange(256), 3000), np.tile(np.arange(3000), 256), np.ones(256 * 3000, np.float32))
+    tracemalloc.start()
+    sg.train_cell(words, contexts, pairs, np.ones(3000) / 3000, 0.05, 5, 1, (1,))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and np.abs(contexts[:, :16]).max() > 0
